@@ -47,7 +47,7 @@ def targets(totals: Sequence[int], weights: Sequence[float], most: float = 3.0,
         unit = left / sum(weights[i] for i in free)
         full = {i for i in free if weights[i] * unit > most * totals[i]}
         for i in full or free:
-            out[i] = most * totals[i] if full else weights[i] * unit
+            out[i] = float(most * totals[i]) if full else weights[i] * unit
         if not full:
             break
         left -= sum(out[i] for i in full)
@@ -111,7 +111,7 @@ def mix(docs: DataFrame, most: int = 3, cycle: Sequence[float] = (1, 2, 3)) -> D
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it; documents without words go."""
+    """The rows of ``docs``, all columns, each as often as the mix takes it."""
     taken = mix(docs, **options).where("copies > 0").groupBy("doc_id", "h").agg(F.max("copies").alias("_copies"))
     key = F.shiftrightunsigned(F.xxhash64(docs.doc_id.cast("long"), docs.text.cast("string")), 1)
     taken = taken.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_copies")

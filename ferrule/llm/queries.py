@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ferrule.plans.shipping import shipped
 
-from . import exact, mixing, packing, quality, simhash
+from . import embeddings, exact, hilbert, html_crf, mixing, packing, pii, quality, simhash, substring
 from .common import ASCII_LOWER, ASCII_UPPER, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,6 +34,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, most=3)
 
 
+@query
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -61,3 +66,42 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op5_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hilbert.hilbert_shards(table(spark, sf_dir, "documents"), shards=16, dims=("source", "lang", "size"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell")
+
+
+@query
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+@query
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.cut_repeats(table(spark, sf_dir, "documents"), window=35)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op8_substring"] = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+v AS (SELECT p.r, p.i, md5_number(array_to_string(d.w[p.i:p.i + 34], ' ')) AS h FROM p JOIN d ON p.r = d.r),
+t AS (SELECT h FROM v GROUP BY h HAVING count(*) > 1),
+m AS (SELECT v.r, v.i FROM v JOIN t ON v.h = t.h),
+g AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS i FROM m),
+x AS (SELECT r, list(i) AS gone FROM g GROUP BY r),
+k AS (SELECT d.doc_id, len(d.w) AS n_words, coalesce(len(x.gone), 0) AS n_removed,
+  CASE WHEN x.gone IS NULL THEN d.w ELSE list_filter(d.w, lambda q, j: NOT list_contains(x.gone, j)) END AS kept
+  FROM d LEFT JOIN x ON d.r = x.r)
+SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return out.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
