@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ferrule.plans.bitmap import only_keys, without_keys
 from ferrule.plans.staging import staged
 
 from .common import ascii_lower, utf8
@@ -164,7 +165,7 @@ def exact_duplicates(docs: DataFrame, width: int = 64) -> DataFrame:
     low = low.withColumn("fp", F.shiftrightunsigned(F.xxhash64("norm"), 64 - width))
     # Grouping by the text itself compares bytes; copies fold together before
     # they are shuffled.  The digest then routes each row to its class.
-    classes = low.join(again, "fp", "left_semi").groupBy("fp", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    classes = only_keys(low, again, "fp").groupBy("fp", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     classes = staged(classes.where("group_size > 1").select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size"), "classes")
     out = marks.join(classes, ["fp", "sha"], "left")
     alone = F.col("group_size").isNull()
@@ -178,7 +179,9 @@ def exact_duplicates(docs: DataFrame, width: int = 64) -> DataFrame:
 
 
 def keep_one_per_text(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay; of rows repeating the doc_id that stays, one."""
-    ids = staged(exact_duplicates(docs, **options).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "kept")
-    out = docs.join(ids.select("doc_id"), "doc_id", "left_semi")
-    return out if ids.where("rows > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    """The rows of ``docs``, all columns, that stay; of rows repeating one doc_id one.  Rows without a doc_id stay.
+
+    Only rows that may have to go are shuffled."""
+    per = staged(exact_duplicates(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "kept")
+    known = per.where("doc_id is not null")
+    return without_keys(docs, "doc_id", known.where("not kept"), known.where("kept and n > 1"))

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -26,6 +27,11 @@ LEVEL_BITS = (12, 17, 17, 17)
 NESTED = 3
 
 
+def _hash() -> F.Column:
+    """63 hash bits of doc_id and text."""
+    return F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")), 1)
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """Rows ``(doc_id, source, size, h)``: words of each text (null: 0) and 63 hash bits of doc_id and text."""
 
@@ -35,7 +41,7 @@ def sizes(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([b.column(0), b.column(1), n, b.column(2)], ["doc_id", "source", "size", "h"])
 
     text = F.col("text").cast("string")
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("long"), text), 1).alias("h"), text.alias("text"))
+    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _hash().alias("h"), text.alias("text"))
     return cols.mapInArrow(run, "doc_id long, source string, size long, h long")
 
 
@@ -73,48 +79,63 @@ def _threshold(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("k", F.coalesce("low", F.lit((1 << 63) - 1)).alias("cut"), "left")
 
 
-def mix(docs: DataFrame, most: int = 3, cycle: Sequence[float] = (1, 2, 3)) -> DataFrame:
-    """Per row of ``docs``: doc_id, source, size, source_size, target, taken (words, repeats counted), copies.
+def plan_mix(sized: DataFrame, most: int, cycle: Sequence[float]) -> DataFrame:
+    """One row per source: s, source_size, target, whole, and of each nested level cut and left.
 
-    Sources in code-point order, null last, weigh ``cycle`` over and over and
-    share the words of all documents; a null text has size 0.  Targets stop at
-    ``most`` times a source's size.  A source's taken words fall short of its
-    target by less than one document that is left out.  Rows repeating doc_id
-    and text share a hash and are taken together.  One row per source is
-    brought to the driver: names and word sums.
-    """
-    spark = docs.sparkSession
-    sized = staged(sizes(docs), "sizes")
+    Names and word sums of the sources are brought to the driver."""
+    spark = sized.sparkSession
     per = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
     per.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8")))
     goal = targets([r.n for r in per], [cycle[i % len(cycle)] for i in range(len(per))], most)
     whole = [min(most, int(t // r.n)) if r.n else 0 for r, t in zip(per, goal)]
     plan = [(k, r.source, r.n, t, w, t - w * r.n) for k, (r, t, w) in enumerate(zip(per, goal, whole))]
     sources = spark.createDataFrame(plan, "k int, s string, source_size long, target double, whole int, rest double")
-    sized = sized.join(sources.select("k", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    rest = sized.where("size > 0")
+    rest = sized.where("size > 0").join(sources.select("k", "s"), F.col("source").eqNullSafe(F.col("s"))).select("k", "h", "size")
     budgets = sources.where("rest >= 1 and source_size > 0").select("k", F.col("rest").alias("budget"))
-    out = sized.join(sources.drop("s"), "k")
-    take, outside = F.lit(False), F.lit(True)
+    out = sources
     for level in range(NESTED):
         found = _threshold(rest, budgets)
         out = out.join(found.select("k", F.col("cut").alias(f"cut{level}"), F.col("left").alias(f"left{level}")), "k", "left")
-        small = F.col("size") <= F.col(f"left{level - 1}") if level else F.lit(True)
-        outside = outside & small
-        under = F.coalesce(outside & (F.col("h") < F.col(f"cut{level}")), F.lit(False))
-        take, outside = take | under, outside & ~under
         budgets = found.where("left >= 1").select("k", F.col("left").alias("budget"))
         rest = rest.join(found, "k").where("h >= cut and size <= left").drop("cut", "left")
-    copies = F.col("whole") + F.when(take & (F.col("size") > 0) & (F.col("whole") < most), 1).otherwise(0)
-    out = out.withColumn("copies", copies.cast("int"))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "h")
-
-
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, each as often as the mix takes it."""
-    taken = mix(docs, **options).where("copies > 0").groupBy("doc_id", "h").agg(F.max("copies").alias("_copies"))
-    key = F.shiftrightunsigned(F.xxhash64(docs.doc_id.cast("long"), docs.text.cast("string")), 1)
-    taken = taken.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "_copies")
-    keyed = docs.withColumn("_h", key).withColumn("_id", F.col("doc_id").cast("long"))
-    out = keyed.join(taken, keyed._id.eqNullSafe(taken._id) & (keyed._h == taken._h))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    return staged(out.drop("k", "rest"), "mixplan")
+
+
+def copies(most: int) -> F.Column:
+    """How often a row with ``size`` and ``h`` beside its source's plan is taken."""
+    take, outside = F.lit(False), F.lit(True)
+    for level in range(NESTED):
+        outside = outside & (F.col("size") <= F.col(f"left{level - 1}")) if level else outside
+        under = F.coalesce(outside & (F.col("h") < F.col(f"cut{level}")), F.lit(False))
+        take, outside = take | under, outside & ~under
+    return (F.col("whole") + F.when(take & (F.col("size") > 0) & (F.col("whole") < most), 1).otherwise(0)).cast("int")
+
+
+def mix(docs: DataFrame, most: int = 3, cycle: Sequence[float] = (1, 2, 3)) -> DataFrame:
+    """Per row of ``docs``: doc_id, source, size, source_size, target, taken (words, repeats counted), copies.
+
+    Sources in code-point order, null last, weigh ``cycle`` over and over and
+    share the words of all documents; a null text has size 0.  Targets stop at
+    ``most`` times a source's size.  A source's taken words fall short of its
+    target by less than one document that is left out.  Rows repeating doc_id
+    and text share a hash and are taken together.
+    """
+    sized = staged(sizes(docs), "sizes")
+    out = sized.join(plan_mix(sized, most, cycle), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(most))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def mixed(docs: DataFrame, most: int = 3, cycle: Sequence[float] = (1, 2, 3)) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix takes it.
+
+    A row's copies follow from its source's plan, its hash and its size, so
+    texts are not shuffled."""
+    plan = plan_mix(staged(sizes(docs), "sizes"), most, cycle)
+
+    @F.pandas_udf("long")
+    def count(text: pd.Series) -> pd.Series:
+        return pd.Series([len(x.encode().split()) if x else 0 for x in text], dtype="int64")
+
+    named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("source"), _hash().alias("h"), count(F.col("text").cast("string")).alias("size"))
+    out = named.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(most)).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")
