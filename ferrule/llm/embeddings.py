@@ -117,7 +117,7 @@ def _links(buckets: DataFrame, threshold: float) -> DataFrame:
             for row in batch.to_pylist():
                 t, lo, hi, members = row["t"], row["lo"], row["hi"], row["members"]
                 for dim in {len(m["v"]) for m in members}:
-                    own = [m for m in members if len(m["v"]) == dim]
+                    own = sorted((m for m in members if len(m["v"]) == dim), key=lambda m: m["node"])
                     if len(own) < 2:
                         continue
                     node = np.array([m["node"] for m in own])

@@ -6,8 +6,8 @@ come from histograms of words by source and hash bucket: the bucket in which
 the running sum passes the budget is found, only that bucket is split into
 finer buckets, and so on down to single hash values.  What budget is left
 under the document at the threshold goes to nested thresholds over the
-smaller documents above it.  No documents are sorted, and a rerun takes the
-same ones.
+smaller documents above it, and the rest to the one whose size is nearest.
+No documents are sorted, and a rerun takes the same ones.
 """
 
 from __future__ import annotations
@@ -89,8 +89,9 @@ def plan_mix(sized: DataFrame, most: int, cycle: Sequence[float]) -> DataFrame:
     goal = targets([r.n for r in per], [cycle[i % len(cycle)] for i in range(len(per))], most)
     whole = [min(most, int(t // r.n)) if r.n else 0 for r, t in zip(per, goal)]
     plan = [(k, r.source, r.n, t, w, t - w * r.n) for k, (r, t, w) in enumerate(zip(per, goal, whole))]
-    sources = spark.createDataFrame(plan, "k int, s string, source_size long, target double, whole int, rest double")
-    rest = sized.where("size > 0").join(sources.select("k", "s"), F.col("source").eqNullSafe(F.col("s"))).select("k", "h", "size")
+    sources = staged(spark.createDataFrame(plan, "k int, s string, source_size long, target double, whole int, rest double"), "sources")
+    known = sized.where("size > 0").join(sources.select("k", "s"), F.col("source").eqNullSafe(F.col("s"))).select("k", "h", "size")
+    rest = known
     budgets = sources.where("rest >= 1 and source_size > 0").select("k", F.col("rest").alias("budget"))
     out = sources
     for level in range(NESTED):
@@ -98,16 +99,24 @@ def plan_mix(sized: DataFrame, most: int, cycle: Sequence[float]) -> DataFrame:
         out = out.join(found.select("k", F.col("cut").alias(f"cut{level}"), F.col("left").alias(f"left{level}")), "k", "left")
         budgets = found.where("left >= 1").select("k", F.col("left").alias("budget"))
         rest = rest.join(found, "k").where("h >= cut and size <= left").drop("cut", "left")
-    return staged(out.drop("k", "rest"), "mixplan")
+    out = staged(out, "levels")
+    # What is left goes to the one hash above the thresholds whose words come nearest to it, if that is nearer than none.
+    short = F.least(*[F.coalesce(F.col(f"left{i}"), F.lit(float("inf"))) for i in range(NESTED)])
+    spare = known.join(out, "k").where((copies(most) == F.col("whole")) & (F.col("whole") < most) & (F.col("rest") >= 1))
+    spare = spare.groupBy("k", "h", short.alias("short")).agg(F.sum("size").alias("words")).where(F.col("words") < 2 * F.col("short"))
+    pick = spare.groupBy("k").agg(F.min(F.struct(F.abs(F.col("words") - F.col("short")).alias("off"), "h"))["h"].alias("last"))
+    return staged(out.join(pick, "k", "left").drop("k", "rest"), "mixplan")
 
 
-def copies(most: int) -> F.Column:
+def copies(most: int, with_last: bool = False) -> F.Column:
     """How often a row with ``size`` and ``h`` beside its source's plan is taken."""
     take, outside = F.lit(False), F.lit(True)
     for level in range(NESTED):
         outside = outside & (F.col("size") <= F.col(f"left{level - 1}")) if level else outside
         under = F.coalesce(outside & (F.col("h") < F.col(f"cut{level}")), F.lit(False))
         take, outside = take | under, outside & ~under
+    if with_last:
+        take = take | F.coalesce(F.col("h") == F.col("last"), F.lit(False))
     return (F.col("whole") + F.when(take & (F.col("size") > 0) & (F.col("whole") < most), 1).otherwise(0)).cast("int")
 
 
@@ -116,12 +125,12 @@ def mix(docs: DataFrame, most: int = 3, cycle: Sequence[float] = (1, 2, 3)) -> D
 
     Sources in code-point order, null last, weigh ``cycle`` over and over and
     share the words of all documents; a null text has size 0.  Targets stop at
-    ``most`` times a source's size.  A source's taken words fall short of its
+    ``most`` times a source's size.  A source's taken words differ from its
     target by less than one document that is left out.  Rows repeating doc_id
     and text share a hash and are taken together.
     """
     sized = staged(sizes(docs), "sizes")
-    out = sized.join(plan_mix(sized, most, cycle), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(most))
+    out = sized.join(plan_mix(sized, most, cycle), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(most, True))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
@@ -137,5 +146,5 @@ def mixed(docs: DataFrame, most: int = 3, cycle: Sequence[float] = (1, 2, 3)) ->
         return pd.Series([len(x.encode().split()) if x else 0 for x in text], dtype="int64")
 
     named = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("source"), _hash().alias("h"), count(F.col("text").cast("string")).alias("size"))
-    out = named.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(most)).where("copies > 0")
+    out = named.join(plan, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(most, True)).where("copies > 0")
     return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("row.*")

@@ -79,7 +79,8 @@ def blocks_for(n: int, drop: int) -> int:
 
 def forest(f: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of a spanning forest of the graph on distinct ``f`` that joins values at most ``most`` bits apart."""
-    f = np.unique(f)
+    # In signed order, as Spark compares them, so that the least node is the root: hubs then have low numbers.
+    f = np.unique(f.view(np.int64)).view(np.uint64)
     if len(f) <= 512:
         near = np.bitwise_count(f[:, None] ^ f[None, :]) <= most
         if np.count_nonzero(near) == len(f):
