@@ -119,7 +119,7 @@ def regression_metrics(df: DataFrame, obs: str, pred: str, id_column: str, group
         F.max("e").alias("maxerr"),
     )
     q2 = F.when(F.col("sse") <= F.col("sst"), 1 - F.col("sse") / F.col("sst")).otherwise(F.col("sst") / F.col("sse") - 1)
-    return sums.select(*group, "n", "mae", "rmse", "bias", (F.signum("c") * F.col("c") * F.col("c")).alias("r2"), q2.alias("q2"), "ae50", "ae95", "maxerr")
+    return sums.select(*group, "n", "mae", "rmse", "bias", (F.signum("c") * F.col("c") * F.col("c") + 0.0).alias("r2"), q2.alias("q2"), "ae50", "ae95", "maxerr")
 
 
 def b_squared(df: DataFrame, obs: str, pred: str, id_column: str, group: str) -> DataFrame:

@@ -12,13 +12,13 @@ def profile_activity(fp: DataFrame, activity: DataFrame, id_column: str, value:
     is for the caller to order.  The complement is the total less the bit's own sums."""
     act = activity.select(F.col(id_column).alias("id"), F.col(value).cast("double").alias("y")).where("y is not null")
     known = fp.select("id", "bit").distinct().join(act, "id")
-    whole = fp.select("id").distinct().join(act, "id").agg(F.count("y").alias("N"), F.sum("y").alias("S"), F.sum(F.col("y") * F.col("y")).alias("Q"))
+    whole = fp.select("id").distinct().join(act, "id").agg(F.count("y").alias("n_all"), F.sum("y").alias("s_all"), F.sum(F.col("y") * F.col("y")).alias("q_all"))
     per = known.groupBy("bit").agg(F.count("y").alias("n"), F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).where(F.col("n") >= support)
     x = per.crossJoin(F.broadcast(whole))  # one row
-    m = F.col("N") - F.col("n")
-    mean1, mean0 = F.col("s") / F.col("n"), F.when(m > 0, (F.col("S") - F.col("s")) / m)
+    m = F.col("n_all") - F.col("n")
+    mean1, mean0 = F.col("s") / F.col("n"), F.when(m > 0, (F.col("s_all") - F.col("s")) / m)
     var1 = F.when(F.col("n") > 1, F.greatest((F.col("q") - F.col("n") * mean1 * mean1) / (F.col("n") - 1), F.lit(0.0)))
-    var0 = F.when(m > 1, F.greatest((F.col("Q") - F.col("q") - m * mean0 * mean0) / (m - 1), F.lit(0.0)))
+    var0 = F.when(m > 1, F.greatest((F.col("q_all") - F.col("q") - m * mean0 * mean0) / (m - 1), F.lit(0.0)))
     se = F.sqrt(var1 / F.col("n") + var0 / m)
     return x.select("bit", "n", mean1.alias("mean_with"), mean0.alias("mean_without"), F.when(se > 0, (mean1 - mean0) / se).alias("t"))
 

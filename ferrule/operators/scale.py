@@ -44,7 +44,7 @@ def normalise(df: DataFrame, ranges: Ranges, kind: str = "01", top: float = 1.0,
         elif out_of_range == "fail":
             x = F.when((x >= r["min"]) & (x <= r["max"]), x)
         unit = (x - r["min"]) / (r["max"] - r["min"])
-        y = {"01": unit * top + offset, "11": unit * 2 - 1, "uv": (x - r["mean"]) / r["sd"], "mc": x - r["mean"], "byte": F.floor(unit * 255 + 0.5)}[kind]
+        y = {"01": unit * top + offset, "11": unit * 2 - 1, "uv": (x - r["mean"]) / r["sd"], "mc": x - r["mean"], "byte": F.floor(unit * 255 + 0.5).cast("double")}[kind]
         cols.append(y.alias(c))
     return df.select(*cols)
 

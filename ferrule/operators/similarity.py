@@ -55,7 +55,8 @@ def within(fp: DataFrame, threshold: float, other: DataFrame | None = None) -> D
 
     A pair at this distance has sum of minima of at least t n on each side,
     t = 1 - threshold.  With counts laid out in order of rarity, the bits that
-    begin before n - ceil(t n) + 1 are the prefix.
+    begin before n - ceil(t n) + 1 are the prefix.  The inputs are read several
+    times: pass staged tables where they are dear.
     """
     if not 0 <= threshold < 1:
         raise ValueError("the threshold must be below 1")
@@ -63,17 +64,21 @@ def within(fp: DataFrame, threshold: float, other: DataFrame | None = None) -> D
     everything = fp if other is None else fp.select("id", "bit", "cnt").union(other.select("id", "bit", "cnt"))
     rarity = everything.groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
 
-    def prefix(x: DataFrame, a: str, n: str) -> DataFrame:
+    def prefix(x: DataFrame, a: str, n: str, c: str, r: str) -> DataFrame:
         w = W.partitionBy("id").orderBy("df", "bit")
         cum = F.sum("cnt").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("cnt")
         y = x.join(rarity, "bit").withColumn("before", cum).withColumn("n", F.sum("cnt").over(W.partitionBy("id")))
-        return y.where(F.col("before") < F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).select(F.col("id").alias(a), "bit", F.col("n").alias(n))
+        y = y.where(F.col("before") < F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1)
+        rest = F.col("n") - F.sum("cnt").over(W.partitionBy("id"))
+        return y.select(F.col("id").alias(a), "bit", F.col("n").alias(n), F.col("cnt").alias(c), rest.alias(r))
 
-    left, right = prefix(fp, "a", "na"), prefix(fp if other is None else other, "b", "nb")
+    left, right = prefix(fp, "a", "na", "ca", "ra"), prefix(fp if other is None else other, "b", "nb", "cb", "rb")
     cand = left.join(right, "bit").where((F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9))
     if other is None:
         cand = cand.where("a < b")
-    cand = cand.select("a", "b", "na", "nb").distinct()
+    # Common counts beyond the shorter prefix are at most what follows it.
+    seen = cand.groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.sum(F.least("ca", "cb")).alias("c"))
+    cand = seen.where(F.col("c") + F.greatest("ra", "rb") >= t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b", "na", "nb")
     full = lambda x, k, m: x.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bit", "cnt"))).alias(m)).withColumnRenamed("id", k)
     both = cand.join(full(fp, "a", "fa"), "a").join(full(fp if other is None else other, "b", "fb"), "b")
     bic = F.aggregate(F.map_keys("fa"), F.lit(0).cast("long"), lambda s, k: s + F.least(F.element_at("fa", k), F.coalesce(F.try_element_at("fb", k), F.lit(0))))
