@@ -62,7 +62,7 @@ def exact_mass(c: Column) -> Column:
 
 def _rows(df: DataFrame, column: str, f: Callable[[Molecule], Iterable[tuple]], schema: str) -> DataFrame:
     """Rows of ``df`` with the columns of ``schema``, once for each tuple that f gives."""
-    names = [x.strip().split()[0] for x in schema.split(",")]
+    names = [x.strip().split()[0].strip("`") for x in schema.split(",")]
     kinds = [x.strip().split()[1] for x in schema.split(",")]
     dtype = {"string": object, "long": "int64", "int": "int32", "double": "float64"}
 
@@ -88,6 +88,12 @@ def describe(df: DataFrame, column: str = "smiles") -> DataFrame:
     return _rows(df, column, lambda m: [tuple(descriptors.describe(m).values())], ", ".join(f"{n} double" for n in descriptors.NAMES))
 
 
+def topology(df: DataFrame, column: str = "smiles") -> DataFrame:
+    """One double column per topological descriptor."""
+    names = list(descriptors.topology(parse("C")))
+    return _rows(df, column, lambda m: [tuple(descriptors.topology(m).values())], ", ".join(f"`{n}` double" for n in names))
+
+
 def rule_of_five(df: DataFrame, column: str = "smiles") -> DataFrame:
     return _rows(df, column, lambda m: [tuple(map(float, descriptors.rule_of_five(m).values()))], "ro5_nhoh double, ro5_no double, natoms double, amw double, clogp double, violations double")
 

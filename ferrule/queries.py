@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ferrule.chem import frames
+from ferrule.chem import enumeration, frames
 from ferrule.functions import metrics, strings
 from ferrule.functions.expressions import combine
 from ferrule.operators import aggregate, cluster, distinct, filters, joins, models, project, sample, scale, similarity, windows
@@ -902,6 +902,14 @@ def _chem(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
 _chem("c_canonical", lambda m: m.select("id", frames.canonical(F.col("smiles")).alias("canonical"), frames.formula(F.col("smiles")).alias("formula"), frames.weight(F.col("smiles")).alias("amw"), frames.exact_mass(F.col("smiles")).alias("mass")))
 _chem("c_descriptors", frames.describe)
 _chem("c_rule_of_five", frames.rule_of_five)
+_chem("c_topology", frames.topology)
+_chem("c_ring_table", enumeration.ring_table)
+_chem("c_core_table", enumeration.core_table)
+_chem("c_ring_replacement", lambda m: enumeration.replace(m, enumeration.ring_table(m)))
+_chem("c_core_replacement", lambda m: enumeration.replace(m, enumeration.core_table(m).where("length(product) < 12"), "core"))
+_chem("c_mutations", lambda m: enumeration.mutations(m, tries=10, seed=1))
+_chem("c_separations", enumeration.separations)
+_chem("c_listed_products", lambda m: enumeration.listed_products(m.select(F.lit("m8").alias("id1"), F.lit("m13").alias("id2")).distinct(), m, "[C:1](=[O:2])[OH].[NH2:3][C:4]>>[C:1](=[O:2])[NH:3][C:4]"))
 _chem("c_substructure", lambda m: m.where(frames.substructure(F.col("smiles"), "C(C)(=O)C")).select("id"))
 _chem("c_embeddings", lambda m: m.select("id", frames.embeddings(F.col("smiles"), "c1ccccc1").alias("atoms")))
 _chem("c_match_counts", lambda m: frames.match_counts(m, {"acid": "C(=O)[OH,O-]", "ether": "C-O-C", "ring": "a1aaaaa1"}))
