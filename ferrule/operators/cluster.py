@@ -10,7 +10,7 @@ and updates all of them after each choice.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -152,6 +152,41 @@ def spread(items: DataFrame, distance: Callable[[Column], Column], point: str, n
     return spark.createDataFrame(picks, f"pick int, id {kind}, nearest {kind}, d double")
 
 
+def leader_thresholds(items: DataFrame, edges: DataFrame, thresholds: Sequence[float], id_column: str = "id", order: str = "ord") -> DataFrame:
+    """Rows (threshold, id, leader, d): sphere exclusion at several thresholds over edges made for the largest."""
+    out = None
+    for t in thresholds:
+        part = leader(items, edges.where(F.col("d") <= t), id_column, order).withColumn("threshold", F.lit(float(t)))
+        out = part if out is None else out.unionByName(part)
+    return out.select("threshold", "id", "leader", "d")
+
+
+def spread_buckets(items: DataFrame, distance: Callable[[Column], Column], point: str, bucket: str, n: int, least: float = 0.5, id_column: str = "id", order: str = "ord") -> DataFrame:
+    """Rows (pick, id, bucket, d): as ``spread``, the distance lowered by how many of the bucket are taken already."""
+    spark = items.sparkSession
+    buckets = items.select(bucket).distinct().count()
+    state = staged(items.select(F.col(id_column).alias("id"), F.col(order).alias("o"), F.col(point).alias("p"), F.col(bucket).cast("string").alias("b"), F.lit(None).cast("double").alias("d")), "spread")
+    taken: dict[str, int] = {}
+    picks = []
+    for k in range(n):
+        blocked = F.lit(0)
+        for name, count in taken.items():
+            blocked = F.when(F.col("b") == name, F.lit(min(count, buckets))).otherwise(blocked)
+        far = F.when(F.col("d").isNull(), F.lit(float("inf"))).otherwise(bucket_penalty(F.col("d"), blocked, buckets, least))
+        best = state.select("id", "o", "p", "b", "d", far.alias("f")).orderBy(F.desc("f"), "o").limit(1).collect()
+        if not best:
+            break
+        x = best[0]
+        picks.append((k, x.id, x.b, x.d))
+        taken[x.b] = taken.get(x.b, 0) + 1
+        d = distance(F.lit(x.p))
+        state = state.where(F.col("id") != F.lit(x.id)).withColumn("d", F.least(F.coalesce("d", d), d))
+        if k % 8 == 7:
+            state = staged(state, "spread")
+    kind = items.schema[id_column].dataType.simpleString()
+    return spark.createDataFrame(picks, f"pick int, id {kind}, bucket string, d double")
+
+
 def bucket_penalty(d: Column, blocked: Column, buckets: int, least: float) -> Column:
     """A distance lowered for an item in whose bucket many are selected: d (f + (1-f)/n (n - blocked))."""
     return d * (least + (1 - least) / buckets * (buckets - blocked))

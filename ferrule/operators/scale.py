@@ -20,6 +20,16 @@ def column_ranges(df: DataFrame, columns: Sequence[str], missing: str = ".") ->
     return {c: {k: row[f"{k}{i}"] for k in ("n", "min", "max", "mean", "sd")} for i, c in enumerate(columns)}
 
 
+def save_ranges(ranges: Ranges, spark, path: str) -> None:
+    """A profile as a small Parquet table, one row per column."""
+    rows = [(c, r["n"], *(None if r[k] is None else float(r[k]) for k in ("min", "max", "mean", "sd"))) for c, r in ranges.items()]
+    spark.createDataFrame(rows, "name string, n long, min double, max double, mean double, sd double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_ranges(spark, path: str) -> Ranges:
+    return {r["name"]: {k: r[k] for k in ("n", "min", "max", "mean", "sd")} for r in spark.read.parquet(path).collect()}  # a row per column
+
+
 def normalise(df: DataFrame, ranges: Ranges, kind: str = "01", top: float = 1.0, offset: float = 0.0, drop_constant: bool = False, out_of_range: str = "allow") -> DataFrame:
     """Columns scaled by ``ranges``.
 

@@ -95,6 +95,17 @@ def distance_filter(fp: DataFrame, pool: DataFrame, too_close: float, at_least:
     return out.select("id", F.coalesce("n_close", F.lit(0)).cast("long").alias("n_close"), "nearest", (F.coalesce("n_close", F.lit(0)) >= at_least).alias("rejected"))
 
 
+def near_any(needles: DataFrame, haystack: DataFrame, threshold: float) -> DataFrame:
+    """Needles within a distance of any member of the haystack."""
+    return needles.select("id").distinct().join(within(needles, threshold, haystack).select(F.col("a").alias("id")).distinct(), "id", "left_semi")
+
+
+def nearest_needle(needles: DataFrame, haystack: DataFrame) -> DataFrame:
+    """Rows (id, needle, d): the needle nearest to each haystack member, ties by needle; null where none shares a bit."""
+    best = pair_distances(needles, haystack).groupBy(F.col("hay").alias("id")).agg(F.min(F.struct("d", "needle")).alias("b"))
+    return haystack.select("id").distinct().join(best, "id", "left").select("id", F.col("b.needle").alias("needle"), F.col("b.d").alias("d"))
+
+
 def listed_pairs(pairs: DataFrame, maps: DataFrame, metric: Column, most: float | None = None) -> DataFrame:
     """Distance of each listed pair (id1, id2), both looked up in ``maps`` (id, fp); pairs beyond ``most`` or with an
     unknown id go.  ``metric`` is a similarity of columns a and b."""

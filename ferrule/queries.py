@@ -830,6 +830,29 @@ def s04_weighted_bits(spark, sf):
     return models.weighted_bits(fp, fp.select("bit", (F.col("bit") % 7 - 3).alias("w")).distinct())
 
 
+@query(f"{_NEEDLES} SELECT DISTINCT needle AS id FROM d WHERE d <= 0.75 + 1e-12")
+def f09_near_any(spark, sf):
+    return similarity.near_any(item_fp(spark, sf), doc_fp(spark, sf), 0.75)
+
+
+@query(f"{_NEEDLES}, b AS (SELECT hay, needle, d FROM d QUALIFY row_number() OVER (PARTITION BY hay ORDER BY d, needle) = 1) SELECT i.id, b.needle, round(b.d, 9) AS d FROM (SELECT DISTINCT id FROM h) i LEFT JOIN b ON i.id = b.hay")
+def f09_nearest_needle(spark, sf):
+    return rounded(similarity.nearest_needle(item_fp(spark, sf), doc_fp(spark, sf)), 9, "d")
+
+
+@query()
+def f36_leader_thresholds(spark, sf):
+    return rounded(cluster.leader_thresholds(_doc_items(spark, sf), _doc_edges(spark, sf), [0.1, 0.3]), 9, "d")
+
+
+@query()
+def f32_spread_buckets(spark, sf):
+    """Ten vectors far apart, of few labels at a time."""
+    items = t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("ord"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("p"))
+    apart = lambda p: F.sqrt(F.aggregate(F.zip_with(F.col("p"), p, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+    return rounded(cluster.spread_buckets(items, apart, "p", "label", 10), 9, "d")
+
+
 # -- scalar functions -----------------------------------------------------------------
 
 
@@ -906,7 +929,7 @@ _chem("c_topology", frames.topology)
 _chem("c_ring_table", enumeration.ring_table)
 _chem("c_core_table", enumeration.core_table)
 _chem("c_ring_replacement", lambda m: enumeration.replace(m, enumeration.ring_table(m)))
-_chem("c_core_replacement", lambda m: enumeration.replace(m, enumeration.core_table(m).where("length(product) < 12"), "core"))
+_chem("c_core_replacement", lambda m: enumeration.replace(m, enumeration.core_table(m).where("length(product) < 15"), "core"))
 _chem("c_mutations", lambda m: enumeration.mutations(m, tries=10, seed=1))
 _chem("c_separations", enumeration.separations)
 _chem("c_listed_products", lambda m: enumeration.listed_products(m.select(F.lit("m8").alias("id1"), F.lit("m13").alias("id2")).distinct(), m, "[C:1](=[O:2])[OH].[NH2:3][C:4]>>[C:1](=[O:2])[NH:3][C:4]"))

@@ -87,6 +87,23 @@ def test_spread_takes_the_furthest(spark):
     assert cluster.spread(items, apart, "p", 40, stop_below=ds[4]).count() == 6
 
 
+def test_spread_over_buckets(spark):
+    rows = [(0, 0, [0.0], "a"), (1, 1, [10.0], "a"), (2, 2, [9.0], "b"), (3, 3, [5.0], "b")]
+    items = spark.createDataFrame(rows, "id long, ord long, p array<double>, k string")
+    apart = lambda p: F.abs(F.element_at(F.col("p"), 1) - F.element_at(p, 1))
+    got = cluster.spread_buckets(items, apart, "p", "k", 2, least=0.5).collect()
+    assert [r.id for r in got] == [0, 2]  # 10 x 0.75 is less than 9
+    assert [r.id for r in cluster.spread(items, apart, "p", 2).orderBy("pick").collect()] == [0, 1]
+
+
+def test_saved_ranges(spark, tmp_path):
+    df = spark.createDataFrame([(1.0, None), (3.0, None)], "a double, b double")
+    r = scale.column_ranges(df, ["a", "b"])
+    scale.save_ranges(r, spark, str(tmp_path / "r"))
+    assert scale.load_ranges(spark, str(tmp_path / "r")) == r
+    assert [x.a for x in scale.normalise(df, r).collect()] == [0.0, 1.0]
+
+
 def test_prefix_join_finds_every_pair(spark):
     rng = random.Random(5)
     fps = {i: {rng.randrange(30): rng.randint(1, 3) for _ in range(rng.randint(1, 12))} for i in range(60)}
