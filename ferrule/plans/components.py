@@ -28,12 +28,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
             break
         seen = (mark.n, mark.x)
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        wide = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # Staged, so that the join has a shuffle of its own on either side and a hub's rows can be split over tasks.
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
+        wide = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "cc")
         low = wide.groupBy("u").agg(F.min("v").alias("m"))
         tight = wide.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         after = staged(tight.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc")
-        drop_staged(now)
+        for t in (now, least, wide):
+            drop_staged(t)
         now = after
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
