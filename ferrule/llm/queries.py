@@ -105,3 +105,13 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_personal_data(table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return out.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
+
+#: Every pair is compared; the operator finds pairs at the threshold itself with a chance of 0.97 and closer ones more surely.
+ORACLES["op7_embeddings"] = """
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE isfinite(c) AND c >= 0.95),
+r AS (SELECT vec_id AS id, vec_id AS c FROM v UNION SELECT l.b, r.c FROM r JOIN l ON r.id = l.a),
+k AS (SELECT id, min(c) AS c FROM r GROUP BY id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, k.c AS component_id, v.vec_id = k.c AS kept FROM v JOIN k ON v.vec_id = k.id LEFT JOIN n ON n.a = v.vec_id
+"""
