@@ -10,7 +10,7 @@ from __future__ import annotations
 import public_tokenizers as P
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ferrule.llm import exact, mixing, packing, quality, simhash
+from ferrule.llm import exact, mixing, near, packing, quality
 from ferrule.llm.common import table
 from ferrule.plans.shipping import shipped
 from ferrule.plans.staging import staged
@@ -27,8 +27,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that with the smallest doc_id."""
-    return simhash.keep_one_per_group(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8), that with the smallest doc_id."""
+    return near.keep_one_per_group(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ferrule.plans.bitmap import bitmap, digest_hashes, held
+
 #: Words are runs of anything but the ASCII white space 0x20 and 0x09-0x0D;
 #: ``bytes.split()`` splits at exactly these bytes.
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -28,3 +32,31 @@ def ascii_lower(c: Column | str) -> Column:
 
 def fixed_long(c: Column | str) -> Column:
     return F.col(c).cast("long") if isinstance(c, str) else c.cast("long")
+
+
+def text_digest(c: Column | str = "text") -> Column:
+    """SHA-256 of a text after lower-casing A-Z, as bytes; null counts as empty."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(c.cast("string"), F.lit(""))), 256))
+
+
+def may_be_among(digests: DataFrame, key: str, c: Column | str = "text") -> Column:
+    """False where the digest of a text is surely not in ``digests.key``.  Digests are made and looked up in one pass."""
+    bits = bitmap(digests, key, digest=True)
+
+    @F.arrow_udf("boolean")
+    def test(texts: pa.Array) -> pa.Array:
+        return pa.array(held(bits, digest_hashes([hashlib.sha256(t.lower()).digest() for t in utf8(texts)])))
+
+    return test((F.col(c) if isinstance(c, str) else c).cast("string"))
+
+
+def one_row_per_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``docs`` without surplus rows.  ``chosen`` holds (digest, doc_id, keep) of each text that repeats or is to go: one
+    row of that text and doc_id stays if ``keep``, none otherwise.  Only rows of such texts are shuffled."""
+    hit = F.coalesce(may_be_among(chosen, "digest"), F.lit(False))
+    want = chosen.select("digest", F.col("doc_id").alias("_by"), "keep")
+    doubtful = docs.where(hit).withColumn("digest", text_digest()).join(want, "digest", "left")
+    stay = doubtful.where(F.col("keep").isNull() | (F.col("keep") & F.col("doc_id").cast("long").eqNullSafe(F.col("_by"))))
+    # A chance hit has a text of its own, so it is not touched here.
+    return docs.where(~hit).unionByName(stay.dropDuplicates(["digest"]).select(*docs.columns))

@@ -21,7 +21,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ferrule.plans.bitmap import without_keys
 from ferrule.plans.components import connected_components
 from ferrule.plans.staging import staged
 
@@ -144,13 +143,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, most: int = 3, bucket_lim
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     byfp = grouped.join(least, "root").select("fp", "component_id")
     return marks.join(byfp, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose doc_id is their component's smallest; of rows repeating it one.  Rows
-    without a doc_id stay.
-
-    Only rows that may have to go are shuffled."""
-    marks = near_duplicates(docs, **options).where("doc_id is not null")
-    per = staged(marks.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count(F.lit(1)).alias("n")), "kept")
-    return without_keys(docs, "doc_id", per.where("not kept"), per.where("kept and n > 1"))

@@ -24,13 +24,20 @@ def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (u >> np.uint64(41)).astype(np.int64), (u & np.uint64(BITS - 1)).astype(np.int64)
 
 
-def bitmap(keys: DataFrame, *columns: str) -> np.ndarray:
-    """The bitmap of a key set, BITS / 8 bytes: or-ed by partition, then by range, then brought to the driver."""
+def digest_hashes(digests: list[bytes]) -> np.ndarray:
+    """The first eight bytes of each digest, which serve as its hash."""
+    return np.frombuffer(b"".join(x[:8] for x in digests), "<i8")
+
+
+def bitmap(keys: DataFrame, *columns: str, digest: bool = False) -> np.ndarray:
+    """The bitmap of a key set, BITS / 8 bytes: or-ed by partition, then by range, then brought to the driver.
+
+    ``digest``: the one column holds digests, whose own bytes are the hash."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, some = np.zeros(BITS, bool), False
         for b in batches:
-            for p in _places(b.column(0).to_numpy(zero_copy_only=False)):
+            for p in _places(digest_hashes(b.column(0).to_pylist()) if digest else b.column(0).to_numpy(zero_copy_only=False)):
                 bits[p] = True
             some = some or b.num_rows > 0
         if some:
@@ -43,7 +50,7 @@ def bitmap(keys: DataFrame, *columns: str) -> np.ndarray:
             out |= np.frombuffer(r, np.uint8)
         return pd.DataFrame({"part": [key[0]], "bits": [out.tobytes()]})
 
-    hashed = keys.select(F.xxhash64(*columns).alias("h"))
+    hashed = keys.select(*columns) if digest else keys.select(F.xxhash64(*columns).alias("h"))
     got = hashed.mapInArrow(local, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary").collect()
     out = np.zeros((_PARTS, BITS // 8 // _PARTS), np.uint8)
     for r in got:
@@ -51,15 +58,19 @@ def bitmap(keys: DataFrame, *columns: str) -> np.ndarray:
     return out.ravel()
 
 
+def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    hit = np.ones(len(h), bool)
+    for p in _places(h):
+        hit &= (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
+    return hit
+
+
 def may_hold(bits: np.ndarray, *columns: str | Column) -> Column:
     """False where a key is surely not in the set."""
 
     @F.pandas_udf("boolean")
     def test(h: pd.Series) -> pd.Series:
-        hit = np.ones(len(h), bool)
-        for p in _places(h.to_numpy(np.int64)):
-            hit &= (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
-        return pd.Series(hit)
+        return pd.Series(held(bits, h.to_numpy(np.int64)))
 
     return test(F.xxhash64(*columns))
 
