@@ -21,10 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ferrule.plans.bitmap import only_keys, without_keys
+from ferrule.plans.bitmap import only_keys
 from ferrule.plans.staging import staged
 
-from .common import ascii_lower, utf8
+from .common import ascii_lower, one_row_per_text, utf8
 
 #: Fingerprints that one merged filter holds on average.
 RANGE_ROWS = 1 << 16
@@ -179,9 +179,10 @@ def exact_duplicates(docs: DataFrame, width: int = 64) -> DataFrame:
 
 
 def keep_one_per_text(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay; of rows repeating one doc_id one.  Rows without a doc_id stay.
+    """One row of ``docs``, all columns, of each text: that with the largest doc_id, one without only where the text has
+    no other.
 
     Only rows that may have to go are shuffled."""
-    per = staged(exact_duplicates(docs, **options).groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "kept")
-    known = per.where("doc_id is not null")
-    return without_keys(docs, "doc_id", known.where("not kept"), known.where("kept and n > 1"))
+    per = exact_duplicates(docs, **options).where("group_size > 1")
+    chosen = per.select(F.unhex("text_sha256").alias("digest"), F.col("keep_id").alias("doc_id"), F.lit(True).alias("keep"))
+    return one_row_per_text(docs, staged(chosen.distinct(), "kept"))
