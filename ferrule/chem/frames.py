@@ -154,7 +154,11 @@ skeletons = _named(lambda m: [transform.skeleton(m).smiles()])
 rings = _named(transform.extract_rings)
 trimmed = _named(lambda m: sorted(transform.trim_rings(m)))
 cores = _named(lambda m: sorted(transform.cores(m)))
-tautomers = _named(lambda m: sorted(transform.tautomers(m)))
+
+
+def tautomers(df: DataFrame, id_column: str = "id", column: str = "smiles", most: int | None = None) -> DataFrame:
+    """All forms of each molecule; at most ``most``, if given."""
+    return _named(lambda m: sorted(transform.tautomers(m, most)))(df, id_column, column)
 
 
 def substituents(df: DataFrame, query: str, atom: int = 0, id_column: str = "id", column: str = "smiles") -> DataFrame:

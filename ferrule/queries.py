@@ -929,7 +929,7 @@ _chem("c_topology", frames.topology)
 _chem("c_ring_table", enumeration.ring_table)
 _chem("c_core_table", enumeration.core_table)
 _chem("c_ring_replacement", lambda m: enumeration.replace(m, enumeration.ring_table(m)))
-_chem("c_core_replacement", lambda m: enumeration.replace(m, enumeration.core_table(m).where("length(product) < 15"), "core"))
+_chem("c_core_replacement", lambda m: enumeration.replace(m, enumeration.core_table(m), "core"))
 _chem("c_mutations", lambda m: enumeration.mutations(m, tries=10, seed=1))
 _chem("c_separations", enumeration.separations)
 _chem("c_listed_products", lambda m: enumeration.listed_products(m.select(F.lit("m8").alias("id1"), F.lit("m13").alias("id2")).distinct(), m, "[C:1](=[O:2])[OH].[NH2:3][C:4]>>[C:1](=[O:2])[NH:3][C:4]"))
