@@ -68,6 +68,7 @@ def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
     def pop() -> None:
         nonlocal in_link, mains
         tag, _, names, main = stack.pop()
+        held[tag] -= 1
         for n in names:
             active[n] -= 1
             if not active[n]:
@@ -75,6 +76,8 @@ def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
         in_link -= tag == "a"
         mains -= main
 
+    # Open elements by name.
+    held: Counter[str] = Counter()
     last = 0
     for m in _TOKEN.finditer(page):
         if m.start() > last:
@@ -94,7 +97,7 @@ def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
         if block:
             close()
         if m[2]:
-            if any(t[0] == tag for t in reversed(stack[-64:])):
+            if held[tag]:
                 while stack:
                     same = stack[-1][0] == tag
                     pop()
@@ -116,6 +119,7 @@ def leaf_blocks(page: str, known: frozenset[str] | None = None) -> list[Block]:
                     names = [n for n in names if n in known]
                 main = bool(attrs) and 'data-main="1"' in attrs
                 stack.append((tag, count, names, main))
+                held[tag] += 1
                 active.update(names)
                 in_link += tag == "a"
                 mains += main
