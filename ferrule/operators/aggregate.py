@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ferrule.plans.ranking import ranked
+from ferrule.plans.staging import staged
+
 from .filters import is_missing
 
 
@@ -69,13 +72,20 @@ def histogram(df: DataFrame, column: str, low: float, high: float, dx: float) ->
     return df.where((x >= low) & (x <= high)).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fuzzy_histogram(df: DataFrame, column: str, low: float, high: float, dx: float, spread: int = 1) -> DataFrame:
-    """As ``histogram``, each value also counted in ``spread`` buckets on either side, by 1/(1+distance)."""
+def fuzzy_histogram(df: DataFrame, column: str, low: float, high: float, dx: float, minus: int = 0, plus: int = 0) -> DataFrame:
+    """Rows ``(bucket, n)``: each value counts in full in its nearest bucket (halves to even) and in its neighbours.
+
+    Buckets run from 0 to round((high - low) / dx).  ``minus`` buckets below
+    count too, and those above up to, not including, home + ``plus``.  Values
+    outside low to high are not counted.
+    """
     x = F.col(column).cast("double")
-    last = int(round((high - low) / dx)) - 1
-    home = F.least(F.floor((x - low) / dx), F.lit(last)).cast("int")
-    near = F.explode(F.array(*[F.struct((home + k).alias("bucket"), F.lit(1.0 / (1 + abs(k))).alias("w")) for k in range(-spread, spread + 1)]))
-    return df.where((x >= low) & (x <= high)).select(near.alias("p")).select("p.*").where((F.col("bucket") >= 0) & (F.col("bucket") <= last)).groupBy("bucket").agg(F.sum("w").alias("weight"))
+    last = int(round((high - low) / dx))
+    home = F.rint((x - low) / dx).cast("int")
+    steps = range(-minus, max(1, plus))
+    near = F.explode(F.array(*[home + k for k in steps])).alias("bucket")
+    inside = df.where((x >= low) & (x <= high)).select(near).where((F.col("bucket") >= 0) & (F.col("bucket") <= last))
+    return inside.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
 def prevalence_average(df: DataFrame, value: str, weight: str, group: Sequence[str] = ()) -> DataFrame:
@@ -88,24 +98,61 @@ def prevalence_average(df: DataFrame, value: str, weight: str, group: Sequence[s
 # Predictions against observations.
 
 
-def regression_metrics(df: DataFrame, obs: str, pred: str, id_column: str, group: Sequence[str] = (), first: int | None = None) -> DataFrame:
-    """Per group: n, mae, rmse, bias, r2, q2, ae50, ae95, cmsd, within a fold of errors.
+#: The three coefficients of the mean significant ratio at its two confidence levels.
+CMSR = {95: (1.645, 0.325, 4.134), 90: (1.274, 0.382, 3.448)}
+
+
+def _at_index(rows: DataFrame, names: Sequence[str], value: str, places: Mapping[str, Column]) -> DataFrame:
+    """Per group the values at 0-based indices of their sorted order; ``places`` are made from the group's size ``n``."""
+    order = ranked(rows.select(*names, value, "i"), names, [value, "i"])
+    n = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    here = order.join(n, list(names))
+    return here.groupBy(*names).agg(*[F.max(F.when(F.col("rank") - 1 == at, F.col(value))).alias(k) for k, at in places.items()])
+
+
+def regression_metrics(
+    df: DataFrame,
+    obs: str,
+    pred: str,
+    id_column: str,
+    group: Sequence[str] = (),
+    first: int | None = None,
+    percent: float | None = None,
+    folds: Sequence[float] = (),
+    ratios: Sequence[float] = (),
+    cmsr: int | None = None,
+) -> DataFrame:
+    """Per group: n, mae, rmse, bias, r2, q2, ae50, ae95, maxerr and what is asked for beside them.
 
     Rows are taken by predicted value, largest first; ``first`` limits each
-    group to its best.  r2 is the squared correlation with its sign; q2 is
-    1 - SSE/SST, or SST/SSE - 1 if SSE is the greater.  ae50 and ae95 are the
-    absolute errors at index n/2 and 95 n/100 of their sorted order.
+    group to its best, ``percent`` to that share (p n / 99.999, cut).  r2 is
+    the squared correlation with its sign; q2 is 1 - SSE/SST, or SST/SSE - 1
+    if SSE is the greater.  ae50 and ae95 are the absolute errors at index n/2
+    and 95 n/100 of their sorted order.  ``folds`` adds ``within_<i>``, the
+    share of rows with an absolute error below each; ``ratios`` adds
+    ``ratio_<i>``, the share whose greater value is less than that multiple of
+    the lesser (values below 1e-4 or of two signs never are).  ``cmsr``, 90 or
+    95, adds ``cmsr_sd``, ``cmsr_mad`` and ``cmsd``: with b the mean
+    difference and s its standard deviation, or 1.4826 times the median
+    deviation from the median, b + (v1 + v2 exp(-v3 b / s)) s, as a power of
+    ten in the first two.  Rows with a null in either column do not count.
     """
-    keys = list(group) or [F.lit(0).alias("__all")]
+    names = list(group) or ["__all"]
     o, p = F.col(obs).cast("double"), F.col(pred).cast("double")
+    keys = [F.col(g) for g in group] or [F.lit(0).alias("__all")]
     rows = df.where(o.isNotNull() & p.isNotNull()).select(*keys, o.alias("o"), p.alias("p"), F.col(id_column).alias("i"))
-    names = list(group) or ["__all"]
-    if first is not None:
-        rows = rows.withColumn("r", F.row_number().over(W.partitionBy(*names).orderBy(F.desc("p"), "i"))).where(F.col("r") <= first)
-    rows = rows.withColumn("e", F.abs(F.col("o") - F.col("p")))
-    w = W.partitionBy(*names)
-    rows = rows.withColumn("k", F.row_number().over(w.orderBy("e", "i")) - 1).withColumn("nn", F.count(F.lit(1)).over(w))
+    if first is not None or percent is not None:
+        rows = ranked(rows, names, [F.desc("p"), "i"])
+        if percent is not None:
+            total = rows.groupBy(*names).agg(F.floor(F.count(F.lit(1)) * percent / 99.999).alias("most"))
+            rows = rows.join(total, names).where("rank <= most").drop("most")
+        if first is not None:
+            rows = rows.where(F.col("rank") <= first)
     err = F.col("o") - F.col("p")
+    rows = rows.withColumns({"e": F.abs(err), "d": err})
+    big, small = F.greatest(F.abs("o"), F.abs("p")), F.least(F.abs("o"), F.abs("p"))
+    alike = (small >= 1e-4) & (F.col("o") * F.col("p") > 0)
+    share = lambda c: F.avg(F.coalesce(c, F.lit(False)).cast("double"))
     sums = rows.groupBy(*names).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("e").alias("mae"),
@@ -114,50 +161,100 @@ def regression_metrics(df: DataFrame, obs: str, pred: str, id_column: str, group
         F.corr("o", "p").alias("c"),
         F.sum(err * err).alias("sse"),
         (F.var_pop("o") * F.count(F.lit(1))).alias("sst"),
-        F.max(F.when(F.col("k") == F.floor(F.col("nn") / 2), F.col("e"))).alias("ae50"),
-        F.max(F.when(F.col("k") == F.floor(F.col("nn") * 95 / 100), F.col("e"))).alias("ae95"),
         F.max("e").alias("maxerr"),
+        F.stddev_samp("d").alias("sd"),
+        *[share(F.col("e") < f).alias(f"within_{i}") for i, f in enumerate(folds)],
+        *[share(alike & (big / small < f)).alias(f"ratio_{i}") for i, f in enumerate(ratios)],
     )
+    n = F.col("n")
+    sums = sums.join(_at_index(rows, names, "e", {"ae50": F.floor(n / 2), "ae95": F.floor(n * 95 / 100)}), names)
+    out = ["ae50", "ae95", "maxerr", *[f"within_{i}" for i in range(len(folds))], *[f"ratio_{i}" for i in range(len(ratios))]]
+    if cmsr is not None:
+        middle = _at_index(rows, names, "d", {"median": F.floor(n / 2)})
+        off = rows.join(middle, names).withColumn("off", F.abs(F.col("d") - F.col("median")))
+        sums = sums.join(_at_index(off, names, "off", {"off": F.floor(n / 2)}), names)
+        v1, v2, v3 = CMSR[cmsr]
+        away, mad = F.abs("bias"), F.col("off") * 1.4826
+        span = lambda s: away + (v1 + v2 * F.exp(-v3 * away / s)) * s
+        sums = sums.withColumns({"cmsr_sd": F.pow(F.lit(10.0), span(F.col("sd"))), "cmsr_mad": F.pow(F.lit(10.0), span(mad)), "cmsd": span(mad)})
+        out += ["cmsr_sd", "cmsr_mad", "cmsd"]
     q2 = F.when(F.col("sse") <= F.col("sst"), 1 - F.col("sse") / F.col("sst")).otherwise(F.col("sst") / F.col("sse") - 1)
-    return sums.select(*group, "n", "mae", "rmse", "bias", (F.signum("c") * F.col("c") * F.col("c") + 0.0).alias("r2"), q2.alias("q2"), "ae50", "ae95", "maxerr")
+    return sums.select(*group, "n", "mae", "rmse", "bias", (F.signum("c") * F.col("c") * F.col("c") + 0.0).alias("r2"), q2.alias("q2"), *out)
+
+
+def _rank_depths(df: DataFrame, obs: str, pred: str, id_column: str, group: str) -> DataFrame:
+    """Per group and depth: the running means of the observed values in predicted, best and worst order, as y, hi and lo.
+
+    Also m, the group's mean, n, and ``spread``, its greatest less its least value."""
+    cols = [F.col(group).alias("g"), F.col(obs).cast("double").alias("o"), F.col(pred).cast("double").alias("p"), F.col(id_column).alias("i")]
+    rows = df.select(*cols).where("o is not null and p is not null")
+    whole = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("o").alias("t"), F.avg("o").alias("m"), (F.max("o") - F.min("o")).alias("spread"))
+    best = staged(ranked(rows.select("g", "o", "i"), ["g"], [F.desc("o"), "i"], sums={"s": "o"}).select("g", "rank", "s"), "best")
+    worst = best.select("g", "rank", "s").union(whole.select("g", F.lit(0).cast("long"), F.lit(0.0))).join(whole.select("g", "n", "t"), "g")
+    # The i least values are all but the n - i greatest.
+    worst = worst.where("rank < n").select("g", (F.col("n") - F.col("rank")).alias("rank"), (F.col("t") - F.col("s")).alias("w"))
+    own = ranked(rows.select("g", "o", "p", "i"), ["g"], [F.desc("p"), "i"], sums={"a": "o"}).select("g", "rank", "a")
+    both = own.join(best, ["g", "rank"]).join(worst, ["g", "rank"]).join(whole.drop("t"), "g")
+    r = F.col("rank")
+    return both.select("g", "rank", "n", "m", "spread", (F.col("a") / r).alias("y"), (F.col("s") / r).alias("hi"), (F.col("w") / r).alias("lo"))
+
+
+def _depth_terms(depths: DataFrame, least: Column) -> DataFrame:
+    """With ``wt``, the span of the depth, and ``term``, its weighted share; null where the depth tells nothing."""
+    y, m = F.col("y"), F.col("m")
+    room = F.when(y > m, F.col("hi") - m).otherwise(m - F.col("lo"))
+    # At the last depth all three orders have the mean; sums in another order may miss it by a rounding error.
+    told = (F.col("rank") < F.col("n")) & (F.abs(y - m) > F.col("spread") * 1e-9) & (room >= least)
+    return depths.withColumn("wt", F.col("hi") - F.col("lo")).withColumn("term", F.when(told, (y - m) / room * F.col("wt")))
 
 
 def b_squared(df: DataFrame, obs: str, pred: str, id_column: str, group: str) -> DataFrame:
-    """Per group: how well the predicted order ranks the observed values, from running means.
+    """Per group: n and b2, how well the predicted order ranks the observed values: 1 as the best order, -1 as the worst.
 
-    Three orders are compared at every depth: predicted, best possible and
-    worst possible.  With y the running mean of each, the statistic is the sum
-    of y(pred) - y(worst) over the sum of y(best) - y(worst).
+    At every depth the running mean in predicted order is set against the mean
+    of all, as a share of the way to the best order's running mean if above it
+    and to the worst order's if below.  Shares are weighted by the distance of
+    best and worst; depths at the mean itself, or with no way to go, tell
+    nothing.  A group without any such depth has 0.
     """
-    rows = df.select(F.col(group).alias("g"), F.col(obs).cast("double").alias("o"), F.col(pred).cast("double").alias("p"), F.col(id_column).alias("i")).where("o is not null and p is not null")
-    run = lambda *order: W.partitionBy("g").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    orders = {"b": (F.desc("o"), "i"), "w": ("o", "i"), "a": (F.desc("p"), "i")}
-    parts = None
-    for name, order in orders.items():
-        mean = F.avg("o").over(run(*order))
-        one = rows.select("g", mean.alias("y")).groupBy("g").agg(F.sum("y").alias(name))
-        parts = one if parts is None else parts.join(one, "g")
-    n = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    value = F.when(F.col("b") == F.col("w"), F.lit(1.0)).otherwise((F.col("a") - F.col("w")) / (F.col("b") - F.col("w")))
-    return parts.join(n, "g").select(F.col("g").alias(group), "n", value.alias("b2"))
+    terms = _depth_terms(_rank_depths(df, obs, pred, id_column, group), F.lit(1e-5))
+    told = F.when(F.col("term").isNotNull(), F.col("wt"))
+    b2 = F.coalesce(F.sum("term") / F.sum(told), F.lit(0.0))
+    return terms.groupBy("g").agg(F.max("n").alias("n"), b2.alias("b2")).withColumnRenamed("g", group)
+
+
+def b_squared_curve(df: DataFrame, obs: str, pred: str, id_column: str, group: str) -> DataFrame:
+    """Per group and depth: rank and b2 of the rows so far; a depth that tells nothing repeats the one before.
+
+    Every depth adds to the weights; the first depths have 0 until one tells."""
+    terms = _depth_terms(_rank_depths(df, obs, pred, id_column, group), F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0) * 1e-5)
+    run = staged(ranked(terms.select("g", "rank", "wt", "term").withColumnRenamed("rank", "depth"), ["g"], ["depth"], sums={"ws": "wt", "ts": "term"}), "curve")
+    run = run.withColumn("seen", F.when(F.col("term").isNotNull(), F.col("ws"))).drop("rank")
+    # Weights only grow, so that at the last telling depth is the greatest so far.
+    last = ranked(run, ["g"], ["depth"], peaks={"upto": "seen"})
+    return last.select(F.col("g").alias(group), F.col("depth").alias("rank"), F.coalesce(F.col("ts") / F.col("upto"), F.lit(0.0)).alias("b2"))
 
 
 def enrichment(df: DataFrame, score: str, active: str, id_column: str, group: str, alpha: float = 20.0, fraction: float = 0.1) -> DataFrame:
-    """Per group: n, actives, roc, rie, bedroc, ef (at ``fraction``) and auac of actives ranked by score, best first."""
-    w = W.partitionBy(group)
-    rows = df.select(F.col(group), F.col(active).cast("int").alias("act"), F.row_number().over(w.orderBy(F.desc(score), id_column)).alias("r"), F.count(F.lit(1)).over(w).alias("N"))
+    """Per group: n, actives, roc, rie, bedroc, ef (at ``fraction``) and auac of actives ranked by score, best first.
+
+    Groups without an active or an inactive row are left out."""
+    rows = df.select(F.col(group), F.col(active).cast("int").alias("act"), F.col(score).alias("_score"), F.col(id_column).alias("_id"))
+    rows = ranked(rows, [group], [F.desc("_score"), "_id"])
+    total = rows.groupBy(F.col(group).alias("_g")).agg(F.count(F.lit(1)).alias("N"))
+    rows = rows.join(total, F.col(group).eqNullSafe(F.col("_g"))).withColumnRenamed("rank", "r")
     hit = F.col("act") == 1
-    n = F.sum("act")
     agg = rows.groupBy(group).agg(
         F.max("N").alias("n"),
-        n.cast("long").alias("actives"),
+        F.sum("act").cast("long").alias("actives"),
         F.sum(F.when(hit, F.col("r"))).alias("rs"),
         F.sum(F.when(hit, F.exp(-alpha * F.col("r") / F.col("N")))).alias("es"),
-        F.sum(F.when(hit & (F.col("r") <= F.floor(F.col("N") * fraction + 0.5)), 1).otherwise(0)).alias("top"),
+        F.sum(F.when(hit & (F.col("r") <= F.floor(F.col("N") * fraction)), 1).otherwise(0)).alias("top"),
     )
     big, k = F.col("n").cast("double"), F.col("actives").cast("double")
-    auac = 1 - F.col("rs") / (k * big) + 0.0
+    auac = 1 - F.col("rs") / (k * big) + 0.5 / big
     ra = k / big
+    # The area under the curve of actives against inactives; a perfect ranking has 1.
     roc = (auac - ra / 2) / (1 - ra)
     rie = F.col("es") / k / ((1 - F.exp(F.lit(-alpha))) / (big * (F.exp(alpha / big) - 1)))
     half = F.lit(alpha / 2)

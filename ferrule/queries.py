@@ -172,11 +172,11 @@ _O = "(SELECT o_custkey AS k, o_orderkey, o_totalprice, row_number() OVER (PARTI
 
 def _concat(spark, sf, how):
     c = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("ord"), "c_name")
-    o = t(spark, sf, "orders").where("o_custkey % 3 <> 0").select((F.col("o_custkey") + 10).alias("id"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority"))
+    o = t(spark, sf, "orders").select((F.col("o_custkey") + 10).alias("id"), F.col("o_orderkey").alias("ord"), F.col("o_orderpriority"))
     return joins.concat_files([c, o], "id", "ord", how)
 
 
-_CONCAT = "SELECT coalesce(c.c_custkey, o.id) AS id, coalesce(c.c_name, '.') AS c_name, coalesce(o.p, '.') AS o_orderpriority FROM customer c {} JOIN (SELECT o_custkey + 10 AS id, arg_min(o_orderpriority, o_orderkey) AS p FROM orders WHERE o_custkey % 3 <> 0 GROUP BY 1) o ON c.c_custkey = o.id"
+_CONCAT = "SELECT coalesce(c.c_custkey, o.id) AS id, coalesce(c.c_name, '.') AS c_name, coalesce(o.p, '.') AS o_orderpriority FROM customer c {} JOIN (SELECT o_custkey + 10 AS id, arg_min(o_orderpriority, o_orderkey) AS p FROM orders GROUP BY 1) o ON c.c_custkey = o.id"
 
 
 @query(_CONCAT.format("LEFT"))
@@ -194,10 +194,10 @@ def t13_concat_full(spark, sf):
     return _concat(spark, sf, "full")
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey + 10 FROM orders WHERE o_custkey % 3 <> 0)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey + 10 FROM orders)")
 def t13_lost(spark, sf):
     c = t(spark, sf, "customer").select(F.col("c_custkey").alias("id"))
-    o = t(spark, sf, "orders").where("o_custkey % 3 <> 0").select((F.col("o_custkey") + 10).alias("id"))
+    o = t(spark, sf, "orders").select((F.col("o_custkey") + 10).alias("id"))
     return joins.lost_rows([c, o], "id").select(F.col("id").cast("long").alias("id"))
 
 
@@ -284,10 +284,10 @@ def f08_distance_filter(spark, sf):
 
 def _listed(spark, sf):
     items = t(spark, sf, "benchmark").select("item_id")
-    return items.select(F.col("item_id").alias("id1"), ((F.col("item_id") * 7 + 3) % 45).alias("id2"))
+    return items.select(F.col("item_id").alias("id1"), (F.col("item_id") + 7).alias("id2"))
 
 
-_MAPS = f"""WITH {_ITEM}, l AS (SELECT item_id AS id1, (item_id * 7 + 3) % 45 AS id2 FROM benchmark),
+_MAPS = f"""WITH {_ITEM}, l AS (SELECT item_id AS id1, item_id + 7 AS id2 FROM benchmark),
 u AS (SELECT id1, id2, k.bit, coalesce(a.cnt, 0) AS x, coalesce(b.cnt, 0) AS y FROM (SELECT DISTINCT id1, id2, bit FROM l JOIN fp ON fp.id IN (id1, id2)) k
 LEFT JOIN fp a ON a.id = id1 AND a.bit = k.bit LEFT JOIN fp b ON b.id = id2 AND b.bit = k.bit WHERE id1 IN (SELECT id FROM fp) AND id2 IN (SELECT id FROM fp))"""
 
@@ -315,7 +315,7 @@ _metric("tversky", "sum(least(x, y)) / (0.5 * (sum(x) - sum(least(x, y))) + 1.5
 _metric("optimistic", "1 - least(1 - sum(least(x, y)) / sum(greatest(x, y)), 1 - sum(least(x, y)) / (0.5 * (sum(x) - sum(least(x, y))) + 1.5 * (sum(y) - sum(least(x, y))) + sum(least(x, y))), 1 - sum(least(x, y)) / (0.5 * (sum(y) - sum(least(x, y))) + 1.5 * (sum(x) - sum(least(x, y))) + sum(least(x, y))))", lambda a, b: 1 - metrics.optimistic_distance(a, b, 0.5, 1.5))
 
 
-_DENSE = f"""WITH {_ITEM}, w AS (SELECT DISTINCT id, bit % 256 AS bit FROM fp), l AS (SELECT item_id AS id1, (item_id * 7 + 3) % 45 AS id2 FROM benchmark),
+_DENSE = f"""WITH {_ITEM}, w AS (SELECT DISTINCT id, bit % 256 AS bit FROM fp), l AS (SELECT item_id AS id1, item_id + 7 AS id2 FROM benchmark),
 s AS (SELECT id1, id2, (SELECT count(*) FROM w WHERE id = id1) AS a, (SELECT count(*) FROM w WHERE id = id2) AS b, (SELECT count(*) FROM w x JOIN w y ON x.bit = y.bit WHERE x.id = id1 AND y.id = id2) AS c FROM l WHERE id1 IN (SELECT id FROM w) AND id2 IN (SELECT id FROM w))
 SELECT id1, id2, {{}} FROM s"""
 
@@ -329,26 +329,23 @@ def f10_pairs_dense(spark, sf):
     return both.select("id1", "id2", *[F.round(f(F.col("a"), F.col("b")), 9).alias(n) for n, f in metrics.DENSE.items()])
 
 
-_PROP = "list_transform(e{0}.embedding[1:8], lambda v: abs(v)::DOUBLE)"
-
-
-@query("""WITH v AS (SELECT vec_id, list_transform(embedding[1:8], lambda v: floor(abs(v::DOUBLE) * 10)::INT) AS p FROM embeddings WHERE vec_id < 60),
-z AS (SELECT a.vec_id AS id1, b.vec_id AS id2, unnest(a.p) AS x, unnest(b.p) AS y FROM v a JOIN v b ON b.vec_id = (a.vec_id * 3 + 1) % 60)
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda v: floor(abs(v::DOUBLE) * 10)::INT) AS p FROM embeddings),
+z AS (SELECT a.vec_id AS id1, b.vec_id AS id2, unnest(a.p) AS x, unnest(b.p) AS y FROM v a JOIN v b ON b.vec_id = a.vec_id + 1)
 SELECT id1, id2, round(avg(CASE WHEN x = y THEN 1 WHEN x = 0 OR y = 0 THEN 0.5 ELSE least(x, y) / greatest(x, y)::DOUBLE END), 9) AS ratio, round(CASE WHEN sum(x + y) = 0 THEN 1 ELSE 2 * sum(least(x, y)) / sum(x + y) END, 9) AS dice,
 round(1 - sqrt(sum((x - y) * (x - y))), 9) AS cartesian, round(avg(exp(-abs(x - y))), 9) AS exp1, round(avg(exp(-(x - y) * (x - y)::DOUBLE)), 9) AS exp2 FROM z GROUP BY ALL""")
 def f10_pairs_properties(spark, sf):
-    """Similarities of vectors of small whole numbers."""
-    v = t(spark, sf, "embeddings").where("vec_id < 60").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: F.floor(F.abs(x.cast("double")) * 10).cast("int")).alias("p"))
-    a, b = v.select(F.col("vec_id").alias("id1"), F.col("p").alias("a"), ((F.col("vec_id") * 3 + 1) % 60).alias("id2")), v.select(F.col("vec_id").alias("id2"), F.col("p").alias("b"))
+    """Similarities of vectors of small whole numbers, each with the next one."""
+    v = t(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 10).cast("int")).alias("p"))
+    a, b = v.select(F.col("vec_id").alias("id1"), F.col("p").alias("a"), (F.col("vec_id") + 1).alias("id2")), v.select(F.col("vec_id").alias("id2"), F.col("p").alias("b"))
     fs = {n: metrics.PROPERTY[n] for n in ("ratio", "dice", "cartesian", "exp1", "exp2")}
     return a.join(b, "id2").select("id1", "id2", *[F.round(f(F.col("a"), F.col("b")), 9).alias(n) for n, f in fs.items()])
 
 
-@query(f"""WITH {_ITEM}, {_PAIRS} SELECT a AS id1, b AS id2, round(d, 2) AS d FROM d WHERE a < 30 AND b < 30""")
+@query(f"""WITH {_ITEM}, {_PAIRS} SELECT a AS id1, b AS id2, round(d, 2) AS d FROM d""")
 def f11_distance_matrix(spark, sf):
     """The lower triangle in long form, rounded; pairs without a common bit are 1 and left out."""
-    few = item_fp(spark, sf).where("id < 30")
-    return similarity.pair_distances(few, few, same=True).select(F.col("needle").alias("id1"), F.col("hay").alias("id2"), F.round("d", 2).alias("d"))
+    fp = item_fp(spark, sf)
+    return similarity.pair_distances(fp, fp, same=True).select(F.col("needle").alias("id1"), F.col("hay").alias("id2"), F.round("d", 2).alias("d"))
 
 
 @query(f"WITH {_ITEM}, n AS (SELECT id, count(*) AS k, sum(cnt) AS n FROM fp GROUP BY id), x AS (SELECT a.id AS id1, b.id AS id2, sum(least(a.cnt, b.cnt)) AS c FROM fp a JOIN fp b ON a.bit = b.bit AND a.id < b.id GROUP BY ALL) SELECT id1, id2, round(0.7 * c / (p.n + q.n - c)::DOUBLE + 0.3 * 2 * c / (p.n + q.n)::DOUBLE, 9) AS s FROM x JOIN n p ON id1 = p.id JOIN n q ON id2 = q.id WHERE abs(p.k - q.k) <= 2")
@@ -414,9 +411,10 @@ def t19_histogram(spark, sf):
     return aggregate.histogram(t(spark, sf, "lineitem"), "l_quantity", 1, 50, 7)
 
 
-@query("WITH h AS (SELECT least(floor((l_quantity - 1) / 7), 6)::INT AS b FROM lineitem), s AS (SELECT b + unnest([-1, 0, 1]) AS bucket, unnest([0.5, 1, 0.5])::DOUBLE AS w FROM h) SELECT bucket, sum(w) AS weight FROM s WHERE bucket BETWEEN 0 AND 6 GROUP BY 1")
+@query("""WITH h AS (SELECT round_even((l_quantity - 1) / 7, 0)::INT AS b FROM lineitem WHERE l_quantity BETWEEN 1 AND 50), s AS (SELECT b + unnest([-1, 0, 1, 2]) AS bucket FROM h)
+SELECT bucket, count(*) AS n FROM s WHERE bucket BETWEEN 0 AND 7 GROUP BY 1""")
 def t19_fuzzy_histogram(spark, sf):
-    return aggregate.fuzzy_histogram(t(spark, sf, "lineitem"), "l_quantity", 1, 50, 7)
+    return aggregate.fuzzy_histogram(t(spark, sf, "lineitem"), "l_quantity", 1, 50, 7, minus=1, plus=3)
 
 
 def _predictions(spark, sf):
@@ -435,18 +433,47 @@ def f12_regression(spark, sf):
     return rounded(rounded(out, 4, "mae", "rmse", "bias", "ae50", "ae95", "maxerr"), 6, "r2", "q2")
 
 
+@query(f"""WITH {_PRED}, f AS (SELECT *, o - p AS d, abs(o - p) AS e, greatest(o, p) / least(o, p) AS q FROM p QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY p DESC, i) <= (count(*) OVER (PARTITION BY l_returnflag)) * 40 // 99.999),
+r AS (SELECT *, count(*) OVER (PARTITION BY l_returnflag) AS n, row_number() OVER (PARTITION BY l_returnflag ORDER BY d, i) - 1 AS k FROM f),
+m AS (SELECT l_returnflag, max(d) AS mid FROM r WHERE k = n // 2 GROUP BY 1), a AS (SELECT r.*, abs(d - mid) AS off FROM r JOIN m USING (l_returnflag)),
+h AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY off, i) - 1 AS j FROM a),
+s AS (SELECT l_returnflag, count(*) AS n, avg((e < 5000)::INT) AS w0, avg((e < 20000)::INT) AS w1, avg((q < 2)::INT) AS r0, abs(avg(d)) AS b, 1.4826 * max(CASE WHEN j = n // 2 THEN off END) AS mad FROM h GROUP BY 1)
+SELECT l_returnflag, n, round(w0, 9) AS within_0, round(w1, 9) AS within_1, round(r0, 9) AS ratio_0, round(b + (1.645 + 0.325 * exp(-4.134 * b / mad)) * mad, 4) AS cmsd FROM s""")
+def f12_best_share(spark, sf):
+    """The best two fifths by prediction: shares within error limits and the significant difference."""
+    out = aggregate.regression_metrics(_predictions(spark, sf), "l_extendedprice", "pred", "i", ["l_returnflag"], percent=40, folds=(5000, 20000), ratios=(2,), cmsr=95)
+    return rounded(rounded(out.select("l_returnflag", "n", "within_0", "within_1", "ratio_0", "cmsd"), 9, "within_0", "within_1", "ratio_0"), 4, "cmsd")
+
+
 _RUN = "avg(o) OVER (PARTITION BY l_returnflag ORDER BY {} ROWS UNBOUNDED PRECEDING)"
+_NTH = "row_number() OVER (PARTITION BY l_returnflag ORDER BY {})"
+_DEPTHS = f"""WITH {_PRED}, best AS (SELECT l_returnflag, {_NTH.format("o DESC, i")} AS r, {_RUN.format("o DESC, i")} AS hi FROM p), worst AS (SELECT l_returnflag, {_NTH.format("o, i")} AS r, {_RUN.format("o, i")} AS lo FROM p),
+own AS (SELECT l_returnflag, {_NTH.format("p DESC, i")} AS r, {_RUN.format("p DESC, i")} AS y, avg(o) OVER (PARTITION BY l_returnflag) AS m, max(o) OVER (PARTITION BY l_returnflag) - min(o) OVER (PARTITION BY l_returnflag) AS spread FROM p),
+j AS (SELECT *, CASE WHEN y > m THEN hi - m ELSE m - lo END AS room, last_value(CASE WHEN hi - lo > 1e-9 * spread THEN hi - lo END IGNORE NULLS) OVER (PARTITION BY l_returnflag ORDER BY r ROWS UNBOUNDED PRECEDING) AS wt
+FROM own JOIN best USING (l_returnflag, r) JOIN worst USING (l_returnflag, r))"""
 
 
-@query(f"""WITH {_PRED}, y AS (SELECT l_returnflag, {_RUN.format("o DESC, i")} AS b, {_RUN.format("o, i")} AS w, {_RUN.format("p DESC, i")} AS a FROM p) SELECT l_returnflag, count(*) AS n, round((sum(a) - sum(w)) / (sum(b) - sum(w)), 6) AS b2 FROM y GROUP BY 1""")
+@query(f"""{_DEPTHS}, n AS (SELECT l_returnflag, count(*) AS n FROM p GROUP BY 1), b AS (SELECT l_returnflag, sum((y - m) / room * wt) / sum(wt) AS b2 FROM j WHERE abs(y - m) > 1e-9 * spread AND room >= 1e-5 GROUP BY 1)
+SELECT l_returnflag, n, round(b2, 6) AS b2 FROM n JOIN b USING (l_returnflag)""")
 def f13_b_squared(spark, sf):
     return rounded(aggregate.b_squared(_predictions(spark, sf), "l_extendedprice", "pred", "i", "l_returnflag"), 6, "b2")
 
 
-@query("""WITH r AS (SELECT event_type, (user_id % 7 = 0)::INT AS act, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events),
-s AS (SELECT event_type, max(n) AS n, sum(act)::BIGINT AS k, sum(act * r) AS rs, sum(act * exp(-20.0 * r / n)) AS es, sum(CASE WHEN act = 1 AND r <= floor(n * 0.1 + 0.5) THEN 1 ELSE 0 END) AS top FROM r GROUP BY 1),
-x AS (SELECT *, k / n::DOUBLE AS ra, 1 - rs / (k * n::DOUBLE) AS auac, es / k / ((1 - exp(-20.0)) / (n * (exp(20.0 / n) - 1))) AS rie FROM s)
-SELECT event_type, n, k AS actives, round((auac - ra / 2) / (1 - ra), 9) AS roc, round(rie, 9) AS rie, round(rie * ra * ((exp(10.0) - exp(-10.0)) / 2) / ((exp(10.0) + exp(-10.0)) / 2 - (exp(10 - 20 * ra) + exp(20 * ra - 10)) / 2) + 1 / (1 - exp(20 * (1 - ra))), 9) AS bedroc, round(top / (k * 0.1), 9) AS ef, round(auac, 9) AS auac FROM x WHERE k > 0 AND k < n""")
+@query(f"""{_DEPTHS}, k AS (SELECT *, abs(y - m) > 1e-9 * spread AND room >= 1e-5 * spread AS told FROM j),
+c AS (SELECT l_returnflag, r, told, sum(CASE WHEN told THEN (y - m) / room * wt END) OVER w / sum(wt) OVER w AS v FROM k WINDOW w AS (PARTITION BY l_returnflag ORDER BY r ROWS UNBOUNDED PRECEDING))
+SELECT l_returnflag, r AS rank, round(coalesce(last_value(CASE WHEN told THEN v END IGNORE NULLS) OVER (PARTITION BY l_returnflag ORDER BY r ROWS UNBOUNDED PRECEDING), 0), 5) AS b2 FROM c""")
+def f13_curve(spark, sf):
+    """The statistic at every depth of the ranking."""
+    return rounded(aggregate.b_squared_curve(_predictions(spark, sf), "l_extendedprice", "pred", "i", "l_returnflag"), 5, "b2")
+
+
+@query("""WITH r AS (SELECT event_type, (user_id % 7 = 0)::INT AS act, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS r, row_number() OVER (PARTITION BY event_type, user_id % 7 = 0 ORDER BY value DESC, event_id) AS j, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+s AS (SELECT event_type, max(n) AS n, sum(act)::BIGINT AS k, sum(act * r) AS rs, sum(act * exp(-20.0 * r / n)) AS es, sum((act = 1 AND r <= floor(n * 0.1))::INT) AS top FROM r GROUP BY 1),
+-- Of each active row, the share of inactive rows that it beats.
+a AS (SELECT event_type, avg((s.n - s.k - (r.r - r.j)) / (s.n - s.k)::DOUBLE) AS roc FROM r JOIN s USING (event_type) WHERE act = 1 GROUP BY 1),
+x AS (SELECT *, k / n::DOUBLE AS ra, k / n::DOUBLE * exp(-20.0 / n) * (1 - exp(-20.0)) / (1 - exp(-20.0 / n)) AS chance FROM s JOIN a USING (event_type))
+SELECT event_type, n, k AS actives, round(roc, 9) AS roc, round(es / chance, 9) AS rie, round(es / chance * ra * ((exp(10.0) - exp(-10.0)) / 2) / ((exp(10.0) + exp(-10.0)) / 2 - (exp(10 - 20 * ra) + exp(20 * ra - 10)) / 2) + 1 / (1 - exp(20 * (1 - ra))), 9) AS bedroc,
+round(top / k::DOUBLE / 0.1, 9) AS ef, round(1 - rs / k / n::DOUBLE + 0.5 / n, 9) AS auac FROM x WHERE k > 0 AND k < n""")
 def f14_enrichment(spark, sf):
     ev = t(spark, sf, "events").withColumn("active", (F.col("user_id") % 7 == 0).cast("int"))
     return rounded(aggregate.enrichment(ev, "value", "active", "event_id", "event_type"), 9, "roc", "rie", "bedroc", "ef", "auac")
@@ -816,10 +843,10 @@ def f38_bayes_folds(spark, sf):
     return rounded(models.cross_validate(item_fp(spark, sf), t(spark, sf, "benchmark").select("item_id", (F.length("text") % 2).alias("c")), "item_id", "c", 3), 9, "score")
 
 
-@query(f"{_NEEDLES} SELECT needle AS id, round(sum((hay % 5 - 2) * (1 - d)) - 0.5, 9) AS score FROM d WHERE hay % 10 = 3 GROUP BY needle")
+@query(f"{_NEEDLES} SELECT needle AS id, round(sum((hay % 5 - 2) * (1 - d)) - 0.5, 9) AS score FROM d GROUP BY needle")
 def f40_kernel(spark, sf):
-    """A kernel model whose support vectors are a tenth of the documents (as the model says)."""
-    sv = doc_fp(spark, sf).where("id % 10 = 3")
+    """A kernel model whose support vectors are all documents."""
+    sv = doc_fp(spark, sf)
     w = sv.select(F.col("id").alias("hay"), (F.col("id") % 5 - 2).alias("w")).distinct()
     return rounded(models.kernel_scores(similarity.pair_distances(item_fp(spark, sf), sv), w, 0.5), 9, "score")
 
