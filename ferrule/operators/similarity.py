@@ -1,16 +1,25 @@
 """Similarity joins over sparse counted fingerprints in long form (id, bit, cnt).
 
-Nearest neighbours of a set of needles meet the haystack through an inverted
-index: an equi-join on bits, then a sum per pair.  Joins with a distance
-threshold first order bits by rarity; two fingerprints within the threshold
-share a bit among the rarest few of each, so only those prefixes are joined
-and frequent bits never are.  Candidates are then measured in full.
+A bounded set of needles is held by every task and meets the haystack's
+records where they are; more needles meet them through an inverted index: an
+equi-join on bits, then a sum per pair.  Joins with a distance threshold first
+order bits by rarity; two fingerprints within the threshold share a bit among
+the rarest few of each, so only those prefixes are joined and frequent bits
+never are.  Candidates are then measured in full.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ferrule.plans.ranking import ranked
+from ferrule.plans.staging import staged
+
 
 def sizes(fp: DataFrame) -> DataFrame:
     return fp.groupBy("id").agg(F.sum("cnt").cast("long").alias("n"))
@@ -33,6 +42,86 @@ def pair_distances(needles: DataFrame, haystack: DataFrame, same: bool = False)
     return bic.join(na, "needle").join(nb, "hay").select("needle", "hay", _distance(F.col("bic"), F.col("na"), F.col("nb")).alias("d"))
 
 
+#: Rows of a needle table that every task may hold; more needles go through the inverted index.
+NEEDLE_ROWS = 1 << 18
+
+
+class _Needles:
+    """Counted needles by bit, to be met by many records at once."""
+
+    def __init__(self, rows: pd.DataFrame):
+        self.ids, owner = np.unique(rows["id"].to_numpy(), return_inverse=True)
+        cnt = rows["cnt"].to_numpy(np.int64)
+        self.n = np.bincount(owner, cnt, len(self.ids))
+        order = np.argsort(rows["bit"].to_numpy(np.int64), kind="stable")
+        bits = rows["bit"].to_numpy(np.int64)[order]
+        self.owner, self.cnt = owner[order], cnt[order]
+        self.bits, self.start = np.unique(bits, return_index=True)
+        self.size = np.diff(np.append(self.start, len(bits)))
+
+    def common(self, record: np.ndarray, bit: np.ndarray, cnt: np.ndarray, records: int) -> np.ndarray:
+        """Sums of lesser counts, records x needles, of records given as rows."""
+        place = np.searchsorted(self.bits, bit)
+        ok = place < len(self.bits)
+        ok[ok] = self.bits[place[ok]] == bit[ok]
+        record, place, cnt = record[ok], place[ok], cnt[ok]
+        size = self.size[place]
+        post = np.repeat(self.start[place] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        key = np.repeat(record, size) * len(self.ids) + self.owner[post]
+        return np.bincount(key, np.minimum(np.repeat(cnt, size), self.cnt[post]), records * len(self.ids)).reshape(records, -1)
+
+
+def _met(needles: DataFrame, haystack: DataFrame, pick: Callable[[np.ndarray], np.ndarray]) -> DataFrame | None:
+    """Rows ``(needle, hay, d)`` that ``pick`` marks in each block of distances (records x needles; 1 where no bit is
+    shared, rows in order of hay id).  None if there are too many needles to hold."""
+    rows = needles.select("id", "bit", "cnt").limit(NEEDLE_ROWS + 1).toPandas()
+    if len(rows) > NEEDLE_ROWS:
+        return None
+    known = _Needles(rows)
+    block = max(1, (1 << 21) // max(1, len(known.ids)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                b = batch.slice(at, block)
+                hay = b.column(0).to_numpy(zero_copy_only=False)
+                order = np.argsort(hay, kind="stable")
+                per = np.diff(b.column(2).offsets.to_numpy())
+                record = np.repeat(np.arange(b.num_rows), per)
+                cells = b.column(2).flatten()
+                c = known.common(record, cells.field("bit").to_numpy(), cells.field("cnt").to_numpy().astype(np.int64), b.num_rows)
+                n = b.column(1).to_numpy(zero_copy_only=False)
+                d = np.where(c > 0, 1 - c / (n[:, None] + known.n[None, :] - c), np.inf)[order]
+                r, k = np.nonzero(pick(d) & np.isfinite(d))
+                yield pa.record_batch([pa.array(known.ids[k]), pa.array(hay[order][r]), pa.array(d[r, k])], ["needle", "hay", "d"])
+
+    kinds = [x.schema["id"].dataType.simpleString() for x in (needles, haystack)]
+    # Only the bits of needles leave the records' own rows.
+    bits = F.broadcast(needles.select("bit", F.lit(True).alias("wanted")).distinct())
+    cell = F.when(F.col("wanted"), F.struct("bit", "cnt"))
+    records = haystack.join(bits, "bit", "left").groupBy("id").agg(F.sum("cnt").cast("long").alias("n"), F.collect_list(cell).alias("cells"))
+    return records.mapInArrow(run, f"needle {kinds[0]}, hay {kinds[1]}, d double")
+
+
+def closest(needles: DataFrame, haystack: DataFrame, k: int, lower: float = -1.0, upper: float = 2.0, least: int = 0) -> DataFrame:
+    """Rows ``(needle, hay, d)`` among which are the ``k`` nearest per needle with lower < d < upper, and the ``least``
+    nearest of all.  Each block of records keeps its own nearest, so few rows are shuffled."""
+
+    def few(d: np.ndarray, most: int) -> np.ndarray:
+        if most >= len(d):
+            return np.isfinite(d)
+        nth = np.partition(d, most - 1, axis=0)[most - 1]
+        return d <= nth  # ties stay
+
+    def pick(d: np.ndarray) -> np.ndarray:
+        out = few(np.where((d > lower) & (d < upper), d, np.inf), k)
+        out &= (d > lower) & (d < upper)
+        return out | few(d, least) if least else out
+
+    got = _met(needles, haystack, pick)
+    return pair_distances(needles, haystack) if got is None else got
+
+
 def nearest(pairs: DataFrame, k: int, lower: float = -1.0, upper: float = 2.0, no_self: bool = False) -> DataFrame:
     """The ``k`` nearest per needle with lower < d < upper, ties by hay id; ``no_self`` skips a needle's own zero."""
     rows = pairs.where((F.col("d") > lower) & (F.col("d") < upper))
@@ -50,39 +139,57 @@ def nearest_at_least(pairs: DataFrame, k: int, least: int, lower: float = -1.0,
     return rows.where(F.when(F.col("n") >= least, F.col("inside") & (F.col("rank") <= k)).otherwise(F.col("rank") <= least)).select("needle", "hay", "d", "rank")
 
 
+def coded(fp: DataFrame, *others: DataFrame) -> list[DataFrame]:
+    """Each fingerprint table as staged rows ``(id, n, codes)``: sets of 64-bit codes in place of counted bits.
+
+    The k-th copy of a bit is a code of its own, so that common codes of two
+    records are the sum of their lesser counts.  Codes sort by the rarity of
+    their bit over all tables given.  Up to 2^32 distinct bits.
+    """
+    every = [x.select("id", "bit", "cnt") for x in (fp, *others)]
+    both = every[0]
+    for x in every[1:]:
+        both = both.union(x)
+    counts = both.groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
+    place = staged(ranked(counts, [], ["df", "bit"]).select("bit", "rank"), "rarity")
+    # Later copies are rarer than the first and come first.
+    copy = F.shiftleft("rank", 31).bitwiseOR
+    codes = F.transform(F.sequence(F.lit(1), F.col("cnt")), lambda k: copy(F.lit((1 << 31) - 1) - k.cast("long")))
+    out = []
+    for x in every:
+        rows = x.join(place, "bit").groupBy("id").agg(F.array_sort(F.flatten(F.collect_list(codes))).alias("codes"))
+        out.append(staged(rows.select("id", F.size("codes").cast("long").alias("n"), "codes"), "coded"))
+    return out
+
+
 def within(fp: DataFrame, threshold: float, other: DataFrame | None = None) -> DataFrame:
     """Rows ``(a, b, d)`` with d <= threshold < 1, exact: pairs of ``fp`` once each (a < b), or of ``fp`` and ``other``.
 
-    A pair at this distance has sum of minima of at least t n on each side,
-    t = 1 - threshold.  With counts laid out in order of rarity, the bits that
-    begin before n - ceil(t n) + 1 are the prefix.  The inputs are read several
-    times: pass staged tables where they are dear.
+    A pair at this distance shares at least t n codes of each side, t = 1 -
+    threshold.  It thus shares one among the first n - ceil(t n) + 1 codes of
+    each, the rarest ones, and the first that it shares lies early enough in
+    both for the rest to reach the overlap.  Only such pairs are compared, by
+    an intersection of code sets.
     """
     if not 0 <= threshold < 1:
         raise ValueError("the threshold must be below 1")
     t = 1.0 - threshold
-    everything = fp if other is None else fp.select("id", "bit", "cnt").union(other.select("id", "bit", "cnt"))
-    rarity = everything.groupBy("bit").agg(F.count(F.lit(1)).alias("df"))
-
-    def prefix(x: DataFrame, a: str, n: str, c: str, r: str) -> DataFrame:
-        w = W.partitionBy("id").orderBy("df", "bit")
-        cum = F.sum("cnt").over(w.rowsBetween(W.unboundedPreceding, 0)) - F.col("cnt")
-        y = x.join(rarity, "bit").withColumn("before", cum).withColumn("n", F.sum("cnt").over(W.partitionBy("id")))
-        y = y.where(F.col("before") < F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1)
-        rest = F.col("n") - F.sum("cnt").over(W.partitionBy("id"))
-        return y.select(F.col("id").alias(a), "bit", F.col("n").alias(n), F.col("cnt").alias(c), rest.alias(r))
-
-    left, right = prefix(fp, "a", "na", "ca", "ra"), prefix(fp if other is None else other, "b", "nb", "cb", "rb")
-    cand = left.join(right, "bit").where((F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9))
+    tables = coded(fp) if other is None else coded(fp, other)
+    left, right = tables[0], tables[-1]
+
+    def prefix(x: DataFrame, key: str, n: str, at: str) -> DataFrame:
+        long_enough = (F.col("n") - F.ceil(F.col("n") * t - 1e-9) + 1).cast("int")
+        return x.select(F.col("id").alias(key), F.col("n").alias(n), F.posexplode(F.slice("codes", 1, long_enough)).alias(at, "code"))
+
+    cand = prefix(left, "a", "na", "ia").join(prefix(right, "b", "nb", "ib"), "code")
+    least = t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9
+    cand = cand.where((F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9) & (F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= least))
     if other is None:
         cand = cand.where("a < b")
-    # Common counts beyond the shorter prefix are at most what follows it.
-    seen = cand.groupBy("a", "b", "na", "nb", "ra", "rb").agg(F.sum(F.least("ca", "cb")).alias("c"))
-    cand = seen.where(F.col("c") + F.greatest("ra", "rb") >= t / (1 + t) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b", "na", "nb")
-    full = lambda x, k, m: x.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bit", "cnt"))).alias(m)).withColumnRenamed("id", k)
-    both = cand.join(full(fp, "a", "fa"), "a").join(full(fp if other is None else other, "b", "fb"), "b")
-    bic = F.aggregate(F.map_keys("fa"), F.lit(0).cast("long"), lambda s, k: s + F.least(F.element_at("fa", k), F.coalesce(F.try_element_at("fb", k), F.lit(0))))
-    return both.select("a", "b", _distance(bic, F.col("na"), F.col("nb")).alias("d")).where(F.col("d") <= threshold + 1e-12)
+    cand = cand.select("a", "b").distinct()
+    both = cand.join(left.toDF("a", "na", "ca"), "a").join(right.toDF("b", "nb", "cb"), "b")
+    common = F.size(F.array_intersect("ca", "cb"))
+    return both.select("a", "b", _distance(common, F.col("na"), F.col("nb")).alias("d")).where(F.col("d") <= threshold + 1e-12)
 
 
 def distance_filter(fp: DataFrame, pool: DataFrame, too_close: float, at_least: int = 1, ignore_zero: bool = False) -> DataFrame:
@@ -102,7 +209,9 @@ def near_any(needles: DataFrame, haystack: DataFrame, threshold: float) -> DataF
 
 def nearest_needle(needles: DataFrame, haystack: DataFrame) -> DataFrame:
     """Rows (id, needle, d): the needle nearest to each haystack member, ties by needle; null where none shares a bit."""
-    best = pair_distances(needles, haystack).groupBy(F.col("hay").alias("id")).agg(F.min(F.struct("d", "needle")).alias("b"))
+    met = _met(needles, haystack, lambda d: d <= d.min(axis=1, initial=np.inf)[:, None])
+    met = pair_distances(needles, haystack) if met is None else met
+    best = met.groupBy(F.col("hay").alias("id")).agg(F.min(F.struct("d", "needle")).alias("b"))
     return haystack.select("id").distinct().join(best, "id", "left").select("id", F.col("b.needle").alias("needle"), F.col("b.d").alias("d"))
 
 

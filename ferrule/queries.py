@@ -12,6 +12,7 @@ from ferrule.functions import metrics, strings
 from ferrule.functions.expressions import combine
 from ferrule.operators import aggregate, cluster, distinct, filters, joins, models, project, sample, scale, similarity, windows
 from ferrule.plans.shipping import shipped
+from ferrule.plans.spreading import spread
 from ferrule.plans.staging import shared_dir, staged
 from ferrule.sources import records
 
@@ -231,7 +232,7 @@ def doc_fp(spark, sf):
 
 
 def doc_tokens(spark, sf):
-    return scale.fingerprint_of_tokens(t(spark, sf, "documents"), "doc_id", tokens("text"))
+    return scale.fingerprint_of_tokens(spread(t(spark, sf, "documents").select("doc_id", "text")), "doc_id", tokens("text"))
 
 
 def item_fp(spark, sf):
@@ -252,7 +253,7 @@ d AS (SELECT a AS needle, b AS hay, 1 - c / (na.n + nb.n - c)::DOUBLE AS d FROM
 @query(f"{_NEEDLES} SELECT needle, hay, round(d, 9) AS d, r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY d, hay) AS r FROM d WHERE d < 0.99) WHERE r <= 5")
 def f05_nearest(spark, sf):
     """The five documents nearest to each benchmark item by counted Tanimoto, strictly nearer than 0.99."""
-    pairs = similarity.pair_distances(item_fp(spark, sf), doc_fp(spark, sf))
+    pairs = similarity.closest(item_fp(spark, sf), doc_tokens(spark, sf), 5, upper=0.99)
     return rounded(similarity.nearest(pairs, 5, upper=0.99), 9, "d").select("needle", "hay", "d", "rank")
 
 
@@ -260,7 +261,7 @@ def f05_nearest(spark, sf):
 r AS (SELECT *, row_number() OVER (PARTITION BY needle ORDER BY CASE WHEN n >= 2 AND NOT i THEN 1 ELSE 0 END, d, hay) AS r FROM w)
 SELECT needle, hay, round(d, 9) AS d, r::INT AS rank FROM r WHERE CASE WHEN n >= 2 THEN i AND r <= 5 ELSE r <= 2 END""")
 def f05_nearest_rescan(spark, sf):
-    pairs = similarity.pair_distances(item_fp(spark, sf), doc_fp(spark, sf))
+    pairs = similarity.closest(item_fp(spark, sf), doc_tokens(spark, sf), 5, upper=0.9, least=2)
     return rounded(similarity.nearest_at_least(pairs, 5, 2, upper=0.9), 9, "d").select("needle", "hay", "d", "rank")
 
 
