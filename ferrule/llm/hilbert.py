@@ -1,11 +1,11 @@
 """Sharding along a Hilbert curve for multidimensional file pruning.
 
-Several metadata dimensions are quantised at percentiles of all rows, the
-cells are numbered along a Hilbert curve, rows are range-partitioned by that
-number, and the run is cut into shards of equally many rows.  Rows close in
-all dimensions share a file, so minima and maxima prune on each of them.
-Equal texts lie next to one another: a text takes the cell of its least
-metadata.
+Several metadata dimensions are quantised at percentiles of all rows, strings
+by their whole values.  The cells are numbered along a Hilbert curve, rows are
+range-partitioned by that number, and the run is cut into shards of equally
+many rows.  Rows close in all dimensions share a file, so minima and maxima
+prune on each of them.  Equal texts lie next to one another: a text takes the
+cell of its least metadata.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import NumericType, StringType
 
+from ferrule.plans.ranking import ranked
 from ferrule.plans.staging import staged
 
 BITS = 8
@@ -51,12 +52,21 @@ def hilbert_index(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def ordinal(c: Column, kind) -> Column:
-    """An order-preserving number of a value: itself, or the first six bytes of a string; null stays null."""
-    if isinstance(kind, NumericType):
-        return c.cast("double")
-    head = F.rpad(F.hex(F.substring(F.encode(c.cast(StringType()), "UTF-8"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+def _orderable(c: Column, kind) -> Column:
+    """A number as a double, anything else as its whole string; strings sort by code point."""
+    return c.cast("double") if isinstance(kind, NumericType) else c.cast(StringType())
+
+
+def _string_cuts(rows: DataFrame, column: str, steps: int) -> list[str]:
+    """The sorted values of a string column at which another ``steps``-th of all rows is full: at most ``steps`` values.
+
+    Every row counts and values are compared whole; a value that holds a step's
+    share of the rows is a cut of its own."""
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    run = ranked(counts, [], ["v"], sums={"upto": "n"})
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    step = lambda c: F.floor(c * steps / max(1, total))
+    return sorted(r.v for r in run.where(step(F.col("upto")) > step(F.col("upto") - F.col("n"))).select("v").collect())
 
 
 def hilbert_order(docs: DataFrame, dims: Sequence[str] = ("source", "lang", "size"), bits: int = BITS) -> DataFrame:
@@ -68,21 +78,25 @@ def hilbert_order(docs: DataFrame, dims: Sequence[str] = ("source", "lang", "siz
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
     kinds = {f.name: f.dataType for f in docs.schema}
-    number = [size.cast("double") if d == "size" else ordinal(F.col(d), kinds[d]) for d in dims]
+    value = [size.cast("double") if d == "size" else _orderable(F.col(d), kinds[d]) for d in dims]
     names = [f"d{i}" for i in range(len(dims))]
-    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), *[n.alias(a) for n, a in zip(number, names)]), "meta")
+    rows = staged(docs.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"), *[v.alias(a) for v, a in zip(value, names)]), "meta")
     texts = rows.groupBy("h").agg(*[F.min(a).alias(a) for a in names])
     steps = F.array(*[F.lit(i / 2**bits) for i in range(1, 2**bits)])
-    found = rows.agg(*[F.percentile_approx(a, steps, F.lit(10000)).alias(a) for a in names]).first()  # 2**bits - 1 numbers each
-    cuts = [np.unique(np.array(found[a] or [], float)) for a in names]
+    strings = {a for a in names if isinstance(rows.schema[a].dataType, StringType)}
+    # 2**bits - 1 numbers of each dimension.
+    found = rows.agg(F.count(F.lit(1)).alias("_n"), *[F.percentile_approx(a, steps, F.lit(10000)).alias(a) for a in names if a not in strings]).first()
+    cuts = [np.array(_string_cuts(rows, a, 2**bits), object) if a in strings else np.unique(np.array(found[a] or [], float)) for a in names]
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             code = np.zeros((b.num_rows, len(cuts)), np.int64)
             for i, cut in enumerate(cuts):
                 v = b.column(i + 1)
-                x = v.fill_null(0.0).to_numpy(zero_copy_only=False)
-                code[:, i] = np.where(v.is_null().to_numpy(zero_copy_only=False), 0, np.minimum(np.searchsorted(cut, x, "right") + 1, 2**bits - 1))
+                words = cut.dtype == object
+                x = v.fill_null("" if words else 0.0).to_numpy(zero_copy_only=False)
+                place = np.searchsorted(cut, x, "left" if words else "right") + 1
+                code[:, i] = np.where(v.is_null().to_numpy(zero_copy_only=False), 0, np.minimum(place, 2**bits - 1))
             yield pa.record_batch([b.column(0), pa.array(hilbert_index(code, bits))], ["h", "cell"])
 
     placed = rows.drop(*names).join(texts.mapInArrow(cells, "h long, cell long"), "h")
