@@ -1,9 +1,11 @@
 """Row filters by key sets of any size that move only the rows in question.
 
-A fixed-size bitmap of key hashes is summed over the key set and sent to every
-task: its bound does not depend on the data.  Rows whose bits are clear are
-surely not in the set and stay where they are; only the others, the members
-and a few chance hits, are shuffled for an exact join.
+A bitmap of key hashes is summed over the key set and sent to every task.  It
+has about ten bits a key, but never more than MOST_BITS, 32 MB: the bound does
+not depend on the data.  Rows whose bits are clear are surely not in the set
+and stay where they are; only the others, the members and a few chance hits,
+are shuffled for an exact join.  Beyond some 30 million keys the share of
+chance hits grows; results are the same, and more rows are shuffled.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-BITS = 1 << 23
+BITS_A_KEY = 10
+LEAST_BITS, MOST_BITS = 16, 28
 _PARTS = 16
 
 
-def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     u = h.view(np.uint64)
-    return (u >> np.uint64(41)).astype(np.int64), (u & np.uint64(BITS - 1)).astype(np.int64)
+    return (u >> np.uint64(64 - bits)).astype(np.int64), (u & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def digest_hashes(digests: list[bytes]) -> np.ndarray:
@@ -29,38 +32,50 @@ def digest_hashes(digests: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(x[:8] for x in digests), "<i8")
 
 
-def bitmap(keys: DataFrame, *columns: str, digest: bool = False) -> np.ndarray:
-    """The bitmap of a key set, BITS / 8 bytes: or-ed by partition, then by range, then brought to the driver.
+def bitmap(keys: DataFrame, *columns: str, digest: bool = False, hashed: bool = False) -> np.ndarray:
+    """The bitmap of a key set: or-ed by partition, then by range, then brought to the driver.  Reads ``keys`` twice.
 
-    ``digest``: the one column holds digests, whose own bytes are the hash."""
+    ``digest``: the one column holds digests, whose own bytes are the hash;
+    ``hashed``: it holds longs that are hashes themselves."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (keys.count() * BITS_A_KEY - 1).bit_length()))
+    width = (1 << bits) // 8 // _PARTS
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, some = np.zeros(BITS, bool), False
+        seen = np.zeros(0, np.int64)
         for b in batches:
-            for p in _places(digest_hashes(b.column(0).to_pylist()) if digest else b.column(0).to_numpy(zero_copy_only=False)):
-                bits[p] = True
-            some = some or b.num_rows > 0
-        if some:
-            rows = np.packbits(bits).reshape(_PARTS, -1)
-            yield pa.record_batch([pa.array(range(_PARTS), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["part", "bits"])
+            h = digest_hashes(b.column(0).to_pylist()) if digest else b.column(0).to_numpy(zero_copy_only=False)
+            seen = np.unique(np.concatenate([seen, *_places(h, bits)]))
+        part = seen // (width * 8)
+        for k in range(_PARTS):
+            # Few places travel as numbers, many as a bitmap.
+            mine = (seen[part == k] - k * width * 8).astype("<u4")
+            if len(mine):
+                dense = mine.nbytes > width
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([dense]), pa.array([(_packed(mine, width) if dense else mine).tobytes()], pa.binary())], ["part", "dense", "bits"])
 
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(BITS // 8 // _PARTS, np.uint8)
-        for r in rows["bits"]:
-            out |= np.frombuffer(r, np.uint8)
+        out = np.zeros(width, np.uint8)
+        for dense, r in zip(rows["dense"], rows["bits"]):
+            out |= np.frombuffer(r, np.uint8) if dense else _packed(np.frombuffer(r, "<u4"), width)
         return pd.DataFrame({"part": [key[0]], "bits": [out.tobytes()]})
 
-    hashed = keys.select(*columns) if digest else keys.select(F.xxhash64(*columns).alias("h"))
-    got = hashed.mapInArrow(local, "part int, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary").collect()
-    out = np.zeros((_PARTS, BITS // 8 // _PARTS), np.uint8)
+    rows = keys.select(*columns) if digest or hashed else keys.select(F.xxhash64(*columns).alias("h"))
+    got = rows.mapInArrow(local, "part int, dense boolean, bits binary").groupBy("part").applyInPandas(merge, "part int, bits binary").collect()
+    out = np.zeros((_PARTS, width), np.uint8)
     for r in got:
         out[r.part] = np.frombuffer(r.bits, np.uint8)
     return out.ravel()
 
 
+def _packed(places: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros(width, np.uint8)
+    np.bitwise_or.at(out, places >> 3, (128 >> (places & 7)).astype(np.uint8))
+    return out
+
+
 def held(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     hit = np.ones(len(h), bool)
-    for p in _places(h):
+    for p in _places(h, len(bits).bit_length() + 2):
         hit &= (bits[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & 1 == 1
     return hit
 
