@@ -25,13 +25,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ferrule.plans.staging import staged
 
 from .common import utf8
 from .fmindex import FMIndex
+from .wordhash import P as _P, hash_spans, mix as _mix
 
 GRAM = 8
 #: Words of segments in one FM-index, on average.
@@ -42,18 +42,10 @@ HOT_SEGMENTS = 4096
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LONG = 48
-_P = np.random.default_rng(5).integers(1, 1 << 63, 128, dtype=np.uint64) * _U(2) + _U(1)
 _B, _BI = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _pow: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def _powers(n: int) -> list[np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64, at least ``n``."""
     if len(_pow[0]) < n:
@@ -71,16 +63,7 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gap = np.concatenate([[True], _SPACE[arr], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     start, end = edge[::2], edge[1::2]
-    if not len(start):
-        return np.zeros(0, np.uint64), start, end
-    size = end - start
-    place = np.arange(len(arr)) - np.repeat(start, np.diff(np.append(start, len(arr)))) if start[0] == 0 else np.arange(start[0], len(arr)) - np.repeat(start, np.diff(np.append(start, len(arr))))
-    body = arr[start[0] :]
-    value = np.where(_SPACE[body], _U(0), (body.astype(np.uint64) + _U(1)) * _P[np.minimum(place, 127)])
-    h = _mix(np.add.reduceat(value, start - start[0]) + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
-    for i in np.flatnonzero(size > _LONG):
-        h[i] = xxhash.xxh64_intdigest(text[start[i] : end[i]], 1)
-    return h, start, end
+    return hash_spans(arr, start, end), start, end
 
 
 def segments(h: np.ndarray, window: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
