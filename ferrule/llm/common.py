@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ferrule.plans.bitmap import bitmap, digest_hashes, held
+from ferrule.plans.spreading import spread
 
 #: Words are runs of anything but the ASCII white space 0x20 and 0x09-0x0D;
 #: ``bytes.split()`` splits at exactly these bytes.
@@ -17,7 +18,8 @@ ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuv
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the corpus; one of few files is dealt over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def utf8(column: pa.Array) -> Iterator[bytes]:

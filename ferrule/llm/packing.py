@@ -6,8 +6,12 @@ it is routed to the shortest tier that holds it.  Tiers are packed from the
 longest down: a piece opens a window of its tier, and the gap is filled from
 shorter tiers, the largest piece that fits first, the last one cut.  Windows
 of every tier are thus full, and the last, open window of a partition is cut
-into windows of powers of two, so no padding is left.  Windows of one tier are
-dealt to step groups of equally many tokens.
+into windows of powers of two, so no padding is left.
+
+Windows of one tier are dealt to step groups of equally many tokens.  The
+windows of the last two groups of a partition are held back until its end and
+dealt evenly, so no group is a small remainder: each has between 3/4 and 3/2
+of the wanted tokens, unless a partition has less than that of a tier in all.
 """
 
 from __future__ import annotations
@@ -59,8 +63,8 @@ def encoder(json_path: str, ranks_path: str | None, pattern: str | None):
     def quick(text: str) -> np.ndarray:
         try:
             return fast.encode_to_numpy(text, allowed_special="all")
-        except BaseException as e:  # the encoder's panics are no Exception
-            if isinstance(e, (KeyboardInterrupt, SystemExit)):
+        except BaseException as e:
+            if type(e).__name__ != "PanicException":  # the encoder's panics are no Exception and have no importable type
                 raise
             return plain(text)
 
@@ -152,61 +156,97 @@ class TierPacker:
         return {d for pool in self.pools for _, d, _ in pool}
 
 
+class StepGroups:
+    """Deals the windows of each tier to groups of ``step`` tokens; ``finish`` deals what is held back."""
+
+    def __init__(self, step: int):
+        self.step, self.held, self.tokens, self.count = step, {}, {}, {}
+
+    def _next(self, tier: int) -> int:
+        self.count[tier] = self.count.get(tier, -1) + 1
+        return self.count[tier]
+
+    def add(self, tier: int, tokens: int, window: list) -> Iterator[tuple[int, int, list]]:
+        """Windows that are settled, as (tier, group, window)."""
+        held = self.held.setdefault(tier, [])
+        held.append((tokens, window))
+        self.tokens[tier] = self.tokens.get(tier, 0) + tokens
+        while self.tokens[tier] >= 2 * self.step:
+            group, room, n = self._next(tier), self.step, 0
+            while room > 0:
+                room -= held[n][0]
+                n += 1
+            yield from ((tier, group, w) for _, w in held[:n])
+            self.tokens[tier] -= self.step - room
+            del held[:n]
+
+    def finish(self) -> Iterator[tuple[int, int, list]]:
+        for tier, held in self.held.items():
+            if not held:
+                continue
+            groups = [[0, self._next(tier)] for _ in range(1 if self.tokens[tier] <= 1.5 * self.step else 2)]
+            for tokens, window in sorted(held, key=lambda x: -x[0]):
+                least = min(groups)
+                least[0] += tokens
+                yield tier, least[1], window
+
+
 def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, end_id: int = 1, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset, tier, step_group.
 
+    ``tier`` is the window's length, ``step_group`` unique over all tiers.
     Null text counts as empty and gives the one token ``end_id``.  Every row of
-    ``docs`` is a document of its own, repeated rows too; other columns are not
-    looked at.  An empty table gives no rows.
+    ``docs`` is a document of its own, repeated rows and those without a
+    doc_id too; other columns are not looked at.  An empty table gives no rows.
     """
-    longest = max(tiers)
+    longest, order = max(tiers), sorted(tiers)
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, ranks, pattern)
         base = TaskContext.get().partitionId() << 40
-        packer, held, count = TierPacker(tiers), {}, [0, 0]
-        groups: dict[int, list[int]] = {}  # of each tier: windows so far
+        packer, groups, held = TierPacker(tiers), StepGroups(step_tokens), {}
+        documents, sequences, tokens = 0, 0, 0
         end = np.array([end_id], np.uint32)
 
-        def rows(last: bool) -> Iterator[pa.RecordBatch]:
-            out = []
+        def settled() -> Iterator[tuple[int, int, list]]:
+            nonlocal sequences
             for size, window in packer.take():
-                tier = min((t for t in tiers if size <= t), default=longest)
-                n = groups.setdefault(tier, [0])
-                step = base | (sorted(tiers).index(tier) << 32) | (n[0] * tier // step_tokens)
-                n[0] += 1
-                at = 0
+                rows, at = [], 0
                 for d, start, length in window:
                     doc_id, ids = held[d]
-                    out.append((doc_id, start, length, ids[start : start + length].tobytes(), len(ids), base + count[1], at, size, step))
+                    rows.append((doc_id, start, length, ids[start : start + length].tobytes(), len(ids), base + sequences, at, size))
                     at += length
-                count[1] += 1
-                if len(out) > 2000:
-                    yield batch(out)
-                    out = []
-            if out:
-                yield batch(out)
+                sequences += 1
+                yield from groups.add(order.index(min((t for t in tiers if size <= t), default=longest)), size, rows)
             keep = packer.waiting()
             for d in [d for d in held if d not in keep]:
                 del held[d]
 
-        def batch(out: list[tuple]) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], [x.split()[0] for x in SCHEMA.split(", ")])
+        def batch(windows: Iterator[tuple[int, int, list]]) -> Iterator[pa.RecordBatch]:
+            out: list[tuple] = []
+            for tier, group, rows in windows:
+                out += [(*r, base | (tier << 32) | group) for r in rows]
+                if len(out) > 2000:
+                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                    out = []
+            if out:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-        tokens = 0
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = np.concatenate([encode(text.as_py() or ""), end]).astype("<u4", copy=False)
-                held[count[0]] = (doc_id, ids)
-                packer.add(count[0], len(ids))
-                count[0] += 1
+                held[documents] = (doc_id, ids)
+                packer.add(documents, len(ids))
+                documents += 1
                 tokens += len(ids)
                 if tokens >= HELD_TOKENS:
                     packer.flush()
-                    yield from rows(False)
+                    yield from batch(settled())
                     tokens = 0
         packer.close()
-        yield from rows(True)
+        yield from batch(settled())
+        yield from batch(groups.finish())
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -199,7 +199,7 @@ def test_packing_round_trip(spark):
     assert packing.pack(documents(spark, texts).limit(0), P.path("byte_bpe_50k.json")).count() == 0
 
 
-def test_packing_step_groups_are_balanced():
+def test_packing_fills_all_windows():
     p = packing.TierPacker()
     rng = random.Random(0)
     total = 0
