@@ -1,11 +1,12 @@
 """Document quality by random Fourier features, ridge regression and isotonic calibration.
 
-Statistics of the whole text are standardised over all documents and mapped to
-cosines of random projections, whose inner products approximate a Gaussian
+Statistics of the whole text are standardised by the labelled rows and mapped
+to cosines of random projections, whose inner products approximate a Gaussian
 kernel.  Partitions sum their normal equations by fold; the driver solves the
 few hundred unknowns.  Scores of left-out folds are binned and made monotone
 against the labels (pool adjacent violators), which turns a score into a
-probability.
+probability.  Only labelled rows are read to fit; then every row is read once
+to score it, and nothing but the labelled rows' statistics is shuffled.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ferrule.plans.bitmap import bitmap, may_hold
 from ferrule.plans.staging import staged
 
 from .common import utf8
@@ -104,35 +106,46 @@ def pool_adjacent(y: np.ndarray, w: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return np.array([b[2] for b in blocks]), np.array([b[0] for b in blocks])
 
 
-def _moments(stats: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _moments(train: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and deviation of each statistic; sums of partitions are summed again before they reach the driver."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, q = 0, np.zeros(N_STATS), np.zeros(N_STATS)
         for b in batches:
             x = _matrix(b.column(0))
             n, s, q = n + len(x), s + x.sum(0), q + (x**2).sum(0)
-        yield pa.record_batch([pa.array([n], pa.int64()), pa.array([s.tolist()]), pa.array([q.tolist()])], ["n", "s", "q"])
-
-    rows = stats.select("x").mapInArrow(run, "n long, s array<double>, q array<double>").collect()  # one small row per partition
-    n = max(1, sum(r.n for r in rows))
-    mean = sum((np.array(r.s) for r in rows), np.zeros(N_STATS)) / n
-    var = sum((np.array(r.q) for r in rows), np.zeros(N_STATS)) / n - mean**2
+        yield pa.record_batch([pa.array(range(N_STATS), pa.int32()), pa.array([n] * N_STATS, pa.int64()), pa.array(s), pa.array(q)], ["i", "n", "s", "q"])
+
+    parts = train.select("x").mapInArrow(run, "i int, n long, s double, q double")
+    rows = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).collect()  # N_STATS rows
+    mean, var = np.zeros(N_STATS), np.zeros(N_STATS)
+    for r in rows:
+        mean[r.i] = r.s / max(1, r.n)
+        var[r.i] = r.q / max(1, r.n) - mean[r.i] ** 2
     return mean, np.where(var > 1e-12, np.sqrt(np.maximum(var, 1e-12)), 1.0)
 
 
-def fit(stats: DataFrame, labels: DataFrame, features: int = 160, ridge: float = 0.3, width: float = 2.0, seed: int = 7) -> QualityModel:
+def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows ``(doc_id, x, y)``, staged, one per labelled doc_id: copies of a row have one label, so one is enough."""
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
+    known = staged(known, "known")
+    some = docs.where(F.coalesce(may_hold(bitmap(known, "doc_id"), F.col("doc_id").cast("long")), F.lit(False)))
+    found = document_statistics(some).join(known, "doc_id")
+    return staged(found.groupBy("doc_id").agg(F.first("x").alias("x"), F.first("y").alias("y")), "train")
+
+
+def fit(docs: DataFrame, labels: DataFrame, features: int = 160, ridge: float = 0.3, width: float = 2.0, seed: int = 7) -> QualityModel:
     """A model from ``labels`` (doc_id, quality): rows with a null in either are skipped, repeats of a doc_id averaged.
 
-    Every labelled row is used.  Without any, every score is 0.5.
+    Every labelled row of ``docs`` is used.  Without any, every score is 0.5.
     """
     rng = np.random.default_rng(seed)
-    mean, scale = _moments(stats)
+    train = _labelled(docs, labels)
+    mean, scale = _moments(train)
     omega = rng.normal(size=(N_STATS, features)) / (width * N_STATS**0.5)
     phase = rng.uniform(0, 2 * np.pi, features)
     dim = features + N_STATS + 1
     blank = QualityModel(mean, scale, omega, phase, np.zeros(dim), (np.array([0.0]), np.array([0.5])))
-    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
-    # Copies of a row have one label; one of them is enough.
-    train = staged(stats.join(known, "doc_id").groupBy("doc_id").agg(F.first("x").alias("x"), F.first("y").alias("y")), "train")
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,14 +193,9 @@ def fit(stats: DataFrame, labels: DataFrame, features: int = 160, ridge: float =
     return QualityModel(mean, scale, omega, phase, solve(whole), (at, value))
 
 
-def scores(stats: DataFrame, model: QualityModel) -> DataFrame:
-    """Rows ``(doc_id, score)``, one per row of ``stats``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch([b.column(0), pa.array(model.score(_matrix(b.column(1))))], ["doc_id", "score"])
-
-    return stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+def _scores(texts: Iterator[bytes], model: QualityModel) -> np.ndarray:
+    x = np.array([statistics(t) for t in texts], np.float32).astype(np.float64).reshape(-1, N_STATS)
+    return model.score(x) if len(x) else np.zeros(0)
 
 
 def held_out() -> F.Column:
@@ -199,21 +207,28 @@ def classify(docs: DataFrame, labels: DataFrame, accept: float = 0.7, **options)
 
     Null and empty texts have all statistics zero and the score that these
     earn.  A null doc_id is scored like any other and is never held out.
+    Repeated rows have one score each; an empty table gives no rows.
     """
-    stats = staged(document_statistics(docs), "stats")
-    model = fit(stats, labels.where(~held_out()), **options)
-    return scores(stats, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
+    model = fit(docs, labels.where(~held_out()), **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array(_scores(utf8(b.column(1)), model))], ["doc_id", "score"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    scored = texts.mapInArrow(run, "doc_id long, score double")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= accept).cast("int").alias("predicted"))
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, accept: float = 0.7, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores ``accept`` or more; no row is shuffled."""
-    stats = staged(document_statistics(docs), "stats")
-    model = fit(stats, labels.where(~held_out()), **options)
+    """The rows of ``docs``, all columns, whose text scores ``accept`` or more; no row is shuffled.
+
+    Null texts, rows without a doc_id, repeats and empty tables as in ``classify``."""
+    model = fit(docs, labels.where(~held_out()), **options)
 
     def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.array([statistics(t) for t in utf8(b.column(b.schema.get_field_index("text")))], np.float32).astype(np.float64)
-            if len(x):
-                yield b.filter(pa.array(model.score(x.reshape(-1, N_STATS)) >= accept))
+            texts = b.column(b.schema.get_field_index("text")).cast(pa.string())
+            yield b.filter(pa.array(_scores(utf8(texts), model) >= accept))
 
     return docs.mapInArrow(passes, docs.schema)
