@@ -57,8 +57,10 @@ def one_row_per_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``docs`` without surplus rows.  ``chosen`` holds (digest, doc_id, keep) of each text that repeats or is to go: one
     row of that text and doc_id stays if ``keep``, none otherwise.  Only rows of such texts are shuffled."""
     hit = F.coalesce(may_be_among(chosen, "digest"), F.lit(False))
-    want = chosen.select("digest", F.col("doc_id").alias("_by"), "keep")
-    doubtful = docs.where(hit).withColumn("digest", text_digest()).join(want, "digest", "left")
-    stay = doubtful.where(F.col("keep").isNull() | (F.col("keep") & F.col("doc_id").cast("long").eqNullSafe(F.col("_by"))))
+    want = chosen.select("digest", F.col("doc_id").alias("by"), "keep")
+    # The row travels as one value, so that its columns may have any names.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    doubtful = docs.where(hit).select(whole, text_digest().alias("digest")).join(want, "digest", "left")
+    stay = doubtful.where(F.col("keep").isNull() | (F.col("keep") & F.col("row.doc_id").cast("long").eqNullSafe(F.col("by"))))
     # A chance hit has a text of its own, so it is not touched here.
-    return docs.where(~hit).unionByName(stay.dropDuplicates(["digest"]).select(*docs.columns))
+    return docs.where(~hit).unionByName(stay.dropDuplicates(["digest"]).select("row.*"))

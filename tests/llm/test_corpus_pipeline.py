@@ -1,11 +1,12 @@
 """The pipeline stage by stage against plain Python, and the registered queries against their SQL."""
 
-import itertools
 import re
 import sys
-from collections import Counter, defaultdict
+import zlib
+from collections import Counter
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
@@ -13,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 import corpus_pipeline
 from ferrule.llm import mixing, quality, queries
 from oracle import database, expected, rows
-from test_corpus_ops import components, plain_simhash
+from test_near_copies import least_of_groups
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,12 +44,7 @@ def test_stages_against_plain_python(spark, tmp_path):
     for r in first:
         best[lower(r.text)] = max(r.doc_id, best.get(lower(r.text), -1))
     assert sorted(r.doc_id for r in exact) == sorted(best.values())
-    fp = [plain_simhash(r.text) for r in exact]
-    roots = components(len(fp), [(i, j) for i, j in itertools.combinations(range(len(fp)), 2) if (fp[i] ^ fp[j]).bit_count() <= 3])
-    least = defaultdict(list)
-    for r, c in zip(exact, roots):
-        least[c].append(r.doc_id)
-    assert sorted(r.doc_id for r in near) == sorted(min(v) for v in least.values())
+    assert sorted(r.doc_id for r in near) == least_of_groups([(r.doc_id, r.text) for r in exact])
     want = {r.doc_id: r.copies for r in mixing.mix(spark.createDataFrame(near)).collect() if r.copies}
     assert Counter(r.doc_id for r in mix) == Counter(want)
     tokens = Counter()
@@ -70,10 +66,6 @@ def test_registered_query(spark, name):
 
 def test_query_scores_against_brute_force(spark):
     """The fit by hand: normal equations of all labelled rows outside the held-out part, folds, and the isotonic map."""
-    import zlib
-
-    import numpy as np
-
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     labels = {r.doc_id: float(r.quality) for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality is not None}
     out = {d.doc_id: zlib.crc32(str(d.doc_id).encode()) % 4 == 2 for d in docs}
@@ -107,3 +99,41 @@ def test_query_scores_against_brute_force(spark):
         assert r.held_out == out[d.doc_id] and abs(r.score - w) < 1e-6 and r.predicted == int(r.score >= 0.7)
     known = [r for i, r in got.items() if out[i] and i in labels]
     assert np.mean([r.predicted == labels[r.doc_id] for r in known]) >= 0.9
+
+
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+def _awkward(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [(1, None), (2, ""), (3, "  "), (None, None), (None, "lone words in a row"), (5, long), (5, long), (6, long + " end"), (7, "lone words in a row"), (8, "LONE words in a row"), (8, "another text")]
+    frame = spark.createDataFrame([(i, t, "en", None if k % 3 == 0 else "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    # Names that the operators use themselves.
+    return frame.selectExpr("*", "1 as keep", "'d' as digest", "2L as h", "3 as size", "4 as fp", "'n' as node", "5 as copies", "6 as score", "7 as k", "8 as row")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES if n != "packing"])
+def test_stages_on_awkward_rows(spark, name):
+    docs = _awkward(spark)
+    out = STAGES[name](spark, docs, SF)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    given = Counter((r.doc_id, r.text) for r in docs.collect())
+    if name == "quality classifier":
+        assert not got - given and len({n for k, n in got.items() if k[0] == 5}) <= 1
+    elif name == "exact dedup":
+        assert sorted(lower(t) for _, t in got) == sorted({lower(t) for _, t in given}) and got[(8, "LONE words in a row")] == 1
+    elif name == "SimHash near-dedup":
+        texts = [t for _, t in got if t and t.strip()]
+        assert sorted(len(t.split()) for t in texts) == [2, 5, 3000] and sum(got.values()) == 4
+    else:
+        assert set(got) <= set(given) and all(n <= 3 * given[k] for k, n in got.items())
+    empty = STAGES[name](spark, docs.limit(0), SF)
+    assert empty.columns == docs.columns and empty.count() == 0
+
+
+def test_packing_stage_on_awkward_rows(spark):
+    docs = _awkward(spark)
+    got = STAGES["packing"](spark, docs, SF).collect()
+    assert sum(r.start == 0 for r in got) == docs.count()
+    assert STAGES["packing"](spark, docs.limit(0), SF).count() == 0
