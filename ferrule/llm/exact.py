@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -26,8 +27,8 @@ from ferrule.plans.staging import staged
 
 from .common import ascii_lower, one_row_per_text, utf8
 
-#: Fingerprints that one merged filter holds on average.
-RANGE_ROWS = 1 << 16
+#: Rows that one merged filter counts on average: 16 MB of fingerprints and counts, and few, large filters to a partition.
+RANGE_ROWS = 1 << 20
 #: The seed of Spark's own xxhash64, so that both sides hash alike.
 SEED = 42
 
@@ -85,11 +86,36 @@ class CountingQuotientFilter:
         return cls(bits, q, np.frombuffer(occupied, np.uint8), np.frombuffer(run_ends, np.uint8), full.view("<u8").ravel(), counts)
 
 
+Run = tuple[np.ndarray, np.ndarray]
+
+
+def _merge_two(a: Run, b: Run) -> Run:
+    """Two sorted runs of (value, count) as one: every entry's place is its own plus that among the other run's."""
+    (v1, c1), (v2, c2) = a, b
+    at1 = np.arange(len(v1)) + np.searchsorted(v2, v1, "left")
+    at2 = np.arange(len(v2)) + np.searchsorted(v1, v2, "right")
+    v, c = np.empty(len(v1) + len(v2), np.uint64), np.empty(len(v1) + len(v2), np.int64)
+    v[at1], v[at2], c[at1], c[at2] = v1, v2, c1, c2
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+    return v[first], np.add.reduceat(c, first) if len(v) else c
+
+
+def merge_runs(runs: list[Run]) -> Run:
+    """Sorted runs merged in pairs, smallest first; counts of equal values add up."""
+    heap = [(len(r[0]), i, r) for i, r in enumerate(runs)]
+    heapify(heap)
+    while len(heap) > 1:
+        _, i, a = heappop(heap)
+        _, _, b = heappop(heap)
+        out = _merge_two(a, b)
+        heappush(heap, (len(out[0]), i, out))
+    return heap[0][2]
+
+
 def merge(filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-    """The filter of all their values, counts added."""
-    parts = [f.items() for f in filters]
-    values, where = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
-    return CountingQuotientFilter.build(values, np.bincount(where, np.concatenate([c for _, c in parts]), len(values)).astype(np.int64), filters[0].bits)
+    """The filter of all their values, counts added.  Runs of remainders are sorted, and stay so: nothing is sorted again."""
+    values, counts = merge_runs([f.items() for f in filters])
+    return CountingQuotientFilter.build(values, counts, filters[0].bits)
 
 
 def digests(docs: DataFrame, width: int = 64) -> DataFrame:
@@ -115,12 +141,8 @@ def repeated_fingerprints(marks: DataFrame, rows: int, width: int = 64) -> DataF
     def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def squeeze() -> tuple[np.ndarray, np.ndarray]:
-            v, where = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            return v, np.bincount(where, np.concatenate([c for _, c in held]), len(v)).astype(np.int64)
-
         def filters() -> pd.DataFrame:
-            v, c = squeeze()
+            v, c = merge_runs(held)
             block = (v >> np.uint64(bits)) if bits < 64 else np.zeros(len(v), np.uint64)
             starts = np.flatnonzero(np.append(True, block[1:] != block[:-1])) if len(v) else []
             out = []
