@@ -1,9 +1,12 @@
-"""A compressed FM-index over integer sequences, searched for many patterns at once.
+"""A succinct FM-index over integer sequences, searched for many patterns at once.
 
 The Burrows-Wheeler transform of a text is stored in a wavelet tree: one
-bit vector per bit of the symbols, each with rank counters per 64-bit word.
-A backward search step narrows the suffix interval of every pattern in one
-vectorised pass over the levels of the tree.
+bit vector per bit of the symbols, with rank counters of a quarter of its
+size.  A backward search step narrows the suffix interval of every pattern in
+one vectorised pass over the levels of the tree.  Matching statistics keep the
+interval from one position to the next: where it cannot be extended to the
+left, it widens to the enclosing interval of the suffix tree, which follows
+from common prefix lengths.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
 
 
 class BitVector:
-    """Bits packed in 64-bit words with a counter per word."""
+    """Bits packed in 64-bit words; a 32-bit counter to 512 words, and a 16-bit one from there to each word."""
 
     def __init__(self, bits: np.ndarray):
         n = len(bits)
@@ -40,14 +43,16 @@ class BitVector:
         padded[:n] = bits
         self.words = np.packbits(padded, bitorder="little").view("<u8")
         ones = np.bitwise_count(self.words)
-        self.before = np.concatenate([[0], np.cumsum(ones[:-1], dtype=np.int64)]).astype(np.uint32)
+        before = np.concatenate([[0], np.cumsum(ones[:-1], dtype=np.int64)])
+        self.far = before[::512].astype(np.uint32)
+        self.near = (before - np.repeat(before[::512], 512)[: len(before)]).astype(np.uint16)
         self.zeros = n - int(ones.sum())
 
     def rank1(self, i: np.ndarray) -> np.ndarray:
         """Ones before each position."""
         w, r = i >> 6, (i & 63).astype(np.uint64)
         low = self.words[w] & ((np.uint64(1) << r) - np.uint64(1))
-        return self.before[w].astype(np.int64) + np.bitwise_count(low)
+        return self.far[w >> 9].astype(np.int64) + self.near[w] + np.bitwise_count(low)
 
 
 class WaveletTree:
@@ -74,9 +79,12 @@ class WaveletTree:
 class FMIndex:
     """Search over ``text``: symbols from 1 up; 0 separates sequences and never matches."""
 
-    def __init__(self, text: np.ndarray):
+    def __init__(self, text: np.ndarray, longest: int = 0):
+        """``longest``: matching statistics will not be asked for longer patterns."""
         self.size = len(text)
         sa = suffix_array(text)
+        if longest:
+            self._nest(text, sa, longest)
         self.tree = WaveletTree(text[sa - 1])
         width = 1 << self.tree.levels
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=width))])
@@ -84,6 +92,56 @@ class FMIndex:
         every = np.arange(width)
         self.base = self.tree.rank(every, np.zeros(width, np.int64), np.zeros(width, np.int64))[0]
 
+    def _nest(self, text: np.ndarray, sa: np.ndarray, longest: int) -> None:
+        """Common prefix lengths of neighbouring suffixes, up to ``longest``, and where shorter ones lie on either side."""
+        n = len(text)
+        lcp = np.zeros(n + 1, np.int16)
+        alive = np.arange(1, n)
+        for _ in range(longest):
+            at = lcp[alive]
+            one, two = sa[alive - 1] + at, sa[alive] + at
+            ok = np.maximum(one, two) < n
+            ok[ok] = text[one[ok]] == text[two[ok]]
+            alive = alive[ok]
+            if not len(alive):
+                break
+            lcp[alive] += 1
+        lcp[0] = lcp[n] = -1
+        index = np.arange(n + 1)
+        self.lcp, self.left, self.right = lcp, np.zeros(n + 1, np.int32), np.full(n + 1, n, np.int32)
+        for v in np.unique(lcp[1:n]):
+            mine, less = lcp == v, lcp < v
+            self.left[mine] = np.maximum.accumulate(np.where(less, index, 0))[mine]
+            self.right[mine] = np.minimum.accumulate(np.where(less, index, n)[::-1])[::-1][mine]
+
+    def matching_statistics(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, least_hits: int = 1) -> np.ndarray:
+        """For each place of ``text`` inside the stretches begin to end: the length of the longest run of symbols that
+        starts there, stays in its stretch and occurs ``least_hits`` times or more in the index; 0 elsewhere."""
+        out = np.zeros(len(text), np.int64)
+        lane = np.flatnonzero(end > begin)
+        begin, at = begin[lane], end[lane] - 1
+        lo, hi, length = np.zeros(len(lane), np.int64), np.full(len(lane), self.size, np.int64), np.zeros(len(lane), np.int64)
+        while len(at):
+            a, b = self.step(text[at], lo, hi)
+            grown = b - a >= least_hits
+            lo, hi, length = np.where(grown, a, lo), np.where(grown, b, hi), length + grown
+            out[at[grown]] = length[grown]
+            # What cannot grow gives up its last symbols, or moves on if it has none.
+            stuck = np.flatnonzero(~grown & (length > 0))
+            l, h = lo[stuck], hi[stuck]
+            x, y = self.lcp[l], self.lcp[h]
+            depth = np.maximum(x, y)
+            lo[stuck], hi[stuck] = np.where(x == depth, self.left[l], l), np.where(y == depth, self.right[h], h)
+            length[stuck] = np.maximum(depth, 0)
+            whole = stuck[depth <= 0]
+            lo[whole], hi[whole] = 0, self.size
+            moved = np.ones(len(at), bool)
+            moved[stuck] = False
+            at = at - moved
+            keep = at >= begin
+            begin, at, lo, hi, length = begin[keep], at[keep], lo[keep], hi[keep], length[keep]
+        return out
+
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.tree.rank(symbol, lo, hi)
         shift = self.first[symbol] - self.base[symbol]

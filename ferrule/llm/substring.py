@@ -6,14 +6,15 @@ equal minimizers, so all places where a window can recur lie in the segments
 of one minimizer.  Segments are counted by minimizer and content:
 
 * a minimizer seen once holds no repeated window;
-* in a segment seen twice every window is repeated;
-* other segments, distinct but with a common minimizer, meet in the shard of
-  that minimizer.  Each shard builds a compressed FM-index of its segments, and
-  backward search over its wavelet tree gives the matching statistics of every
-  window: those of W words or more at two places are repeated;
+* the segments of any other meet in the minimizer's shard, one row for equal
+  ones.  Each shard builds a succinct FM-index of its segments, with a second
+  copy of those that occur twice or more, and backward search over its wavelet
+  tree gives the matching statistics of every place: a window is repeated
+  where they reach W words at two places;
 * a minimizer with more distinct segments than a shard should hold (a line
   that a third of all documents quote) is not given to one shard: its windows
-  are counted by their own hashes, which spread over all tasks.
+  are counted by their own hashes, which spread over all tasks.  An index
+  cannot be cut there: a window of one part may recur in any other.
 
 Words are 64-bit hashes; segments are compared by minimizer and content hash.
 """
@@ -136,21 +137,23 @@ def _words_of(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
 def shard_repeats(frame: pd.DataFrame, window: int) -> pd.DataFrame:
     """The repeated windows of one shard's segments: ``mask`` has bit i for the i-th window of a segment."""
     frame = frame.drop_duplicates(["mn", "sk", "n"])  # a repeated row fetched its segments twice
+    kinds = len(frame)
+    twice = frame["many"].to_numpy() > 1
     parts = [np.frombuffer(w, np.uint64) for w in frame["words"]]
+    parts += [p for p, t in zip(parts, twice) if t]
     size = np.array([len(p) for p in parts])
     symbol = np.unique(np.concatenate(parts), return_inverse=True)[1] + 1
     # Sequences are set apart by a 0 on either side.
     start = np.cumsum(size + 1) - size
     text = np.zeros(int(size.sum()) + len(parts) + 1, np.int64)
     text[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = symbol
-    index = FMIndex(text)
-    ask = np.flatnonzero(frame["many"].to_numpy() == 1)
     n = frame["n"].to_numpy().astype(np.int64)
-    owner = np.repeat(ask, n[ask])
-    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n[ask]) - n[ask], n[ask])
-    statistic = index.matching_lengths(text, start[owner] + nth + window, window, least_hits=2)
-    hit = statistic >= window
-    mask = np.zeros(len(parts), np.int64)
+    index = FMIndex(text, int(size.max()))
+    statistic = index.matching_statistics(text, start[:kinds], (start + size)[:kinds], least_hits=2)
+    owner = np.repeat(np.arange(kinds), n)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    hit = statistic[start[owner] + nth] >= window
+    mask = np.zeros(kinds, np.int64)
     np.bitwise_or.at(mask, owner[hit], np.int64(1) << nth[hit])
     got = np.flatnonzero(mask)
     return pd.DataFrame({"mn": frame["mn"].to_numpy()[got], "sk": frame["sk"].to_numpy()[got], "n": n[got].astype(np.int16), "mask": mask[got]})
@@ -170,8 +173,9 @@ def _hot_repeats(words: DataFrame, window: int) -> DataFrame:
                 yield pa.record_batch([pa.array(np.full(k, mn[i])), pa.array(np.full(k, sk[i])), pa.array(np.full(k, n[i], np.int16)), pa.array(np.full(k, many[i])), pa.array(np.arange(k, dtype=np.int16)), pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], ["mn", "sk", "n", "many", "i", "a", "c"])
 
     rows = words.dropDuplicates(["mn", "sk", "n"]).select("mn", "sk", "n", "many", "words").mapInArrow(run, "mn long, sk long, n short, many long, i short, a long, c long")
-    twice = rows.groupBy("a", "c").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("a", "c")
-    return rows.where("many = 1").join(twice, ["a", "c"]).groupBy("mn", "sk", "n").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+    times = F.sum(F.least("many", F.lit(2)))
+    twice = rows.groupBy("a", "c").agg(times.alias("times")).where("times > 1").select("a", "c")
+    return rows.join(twice, ["a", "c"]).groupBy("mn", "sk", "n").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
 
 
 def repeated_windows(docs: DataFrame, window: int, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
@@ -180,18 +184,14 @@ def repeated_windows(docs: DataFrame, window: int, hot_segments: int = HOT_SEGME
     kinds = found.groupBy("mn", "sk", "n").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("doc_id", "th", "at")).alias("one"))
     per = kinds.groupBy("mn").agg(F.count(F.lit(1)).alias("distinct"), F.sum("many").alias("all")).where("all > 1")
     kinds = staged(kinds.join(per, "mn").select("mn", "sk", "n", "many", "distinct", "one"), "kinds")
-    full = kinds.where("many > 1").select("mn", "sk", "n", F.expr("shiftleft(1L, n) - 1").alias("mask"))
-    mixed = kinds.where("distinct > 1")
-    total = mixed.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)).alias("w"), F.coalesce(F.max("distinct"), F.lit(0)).alias("m")).first()
-    if total.w:
-        wanted = mixed.select("one.*", "n", "mn", "sk", "many", (F.col("distinct") > hot_segments).alias("hot"))
-        words = staged(_words_of(docs, wanted, window), "segwords")
-        shards = max(1, int(total.w) // SHARD_WORDS)
-        shard = F.pmod(F.xxhash64("mn"), F.lit(shards))
-        cold = words.where("not hot").groupBy(shard.alias("shard")).applyInPandas(lambda f: shard_repeats(f, window), "mn long, sk long, n short, mask long")
-        full = full.union(cold)
-        if total.m > hot_segments:
-            full = full.union(_hot_repeats(words.where("hot"), window))
+    total = kinds.agg(F.coalesce(F.sum((F.col("n") + window) * F.when(F.col("many") > 1, 2).otherwise(1)), F.lit(0)).alias("w"), F.coalesce(F.max("distinct"), F.lit(0)).alias("m")).first()
+    wanted = kinds.select("one.*", "n", "mn", "sk", "many", (F.col("distinct") > hot_segments).alias("hot"))
+    words = staged(_words_of(docs, wanted, window), "segwords")
+    shards = max(1, int(total.w) // SHARD_WORDS)
+    shard = F.pmod(F.xxhash64("mn"), F.lit(shards))
+    full = words.where("not hot").groupBy(shard.alias("shard")).applyInPandas(lambda f: shard_repeats(f, window), "mn long, sk long, n short, mask long")
+    if total.m > hot_segments:
+        full = full.union(_hot_repeats(words.where("hot"), window))
     verdict = staged(full, "verdict")
     return found.join(verdict, ["mn", "sk", "n"]).select("doc_id", "th", "at", "mask")
 
