@@ -18,7 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ferrule.plans.staging import staged
+from ferrule.plans.ranking import ranked
+from ferrule.plans.staging import drop_staged, staged
 
 from .common import utf8
 
@@ -45,22 +46,6 @@ def sizes(docs: DataFrame) -> DataFrame:
     return cols.mapInArrow(run, "doc_id long, source string, size long, h long")
 
 
-def targets(totals: Sequence[int], weights: Sequence[float], most: float = 3.0, budget: float | None = None) -> list[float]:
-    """Shares of ``budget`` (all sizes) by weight; none above ``most`` times its size, the excess reshared."""
-    left = float(sum(totals)) if budget is None else float(budget)
-    out, free = [0.0] * len(totals), set(range(len(totals)))
-    while free:
-        unit = left / sum(weights[i] for i in free)
-        full = {i for i in free if weights[i] * unit > most * totals[i]}
-        for i in full or free:
-            out[i] = float(most * totals[i]) if full else weights[i] * unit
-        if not full:
-            break
-        left -= sum(out[i] for i in full)
-        free -= full
-    return out
-
-
 def _threshold(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     """Per source k with a budget: ``cut``, such that documents with h < cut hold at most the budget, and ``left``, what they leave of it."""
     state = budgets.select("k", F.lit(0).cast("long").alias("low"), F.col("budget").alias("left"))
@@ -79,17 +64,37 @@ def _threshold(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return state.select("k", F.coalesce("low", F.lit((1 << 63) - 1)).alias("cut"), "left")
 
 
+def source_targets(sized: DataFrame, most: int, cycle: Sequence[float]) -> DataFrame:
+    """One row per source, staged: k (its place by code point, null last), s, source_size, target, whole, rest.
+
+    The sum of all sizes is shared by weight; no target is above ``most`` times
+    its source's size, and the excess is reshared until none is.  Sources stay
+    in a table: a round sums over those still free, and those it fills are full."""
+    per = sized.groupBy(F.col("source").alias("s")).agg(F.sum("size").alias("source_size"))
+    weights = F.array(*[F.lit(float(w)) for w in cycle])
+    placed = ranked(per, [], [F.asc_nulls_last("s")]).withColumn("k", F.col("rank") - 1)
+    own = F.element_at(weights, (F.col("k") % len(cycle) + 1).cast("int"))
+    rows = staged(placed.select("k", "s", "source_size", own.alias("weight"), F.lit(False).alias("full")), "sources")
+    top = F.lit(most) * F.col("source_size")
+    while True:
+        free = F.when(~F.col("full"), F.col("weight"))
+        sums = rows.agg(F.sum(free).alias("w"), F.sum("source_size").alias("all"), F.sum(F.when(F.col("full"), top)).alias("taken"), F.sum(F.col("full").cast("int")).alias("n")).first()
+        unit = (float(sums["all"]) - float(sums["taken"] or 0)) / sums["w"] if sums["w"] else 0.0
+        filled = F.col("full") | (F.col("weight") * unit > top)
+        after = staged(rows.withColumn("full", filled), "sources")
+        drop_staged(rows)
+        rows = after
+        if rows.where("full").count() == (sums["n"] or 0):
+            break
+    target = F.when(F.col("full"), top.cast("double")).otherwise(F.col("weight") * unit)
+    whole = F.when(F.col("source_size") > 0, F.least(F.lit(most), F.floor(target / F.col("source_size")))).otherwise(0).cast("int")
+    out = rows.select("k", "s", "source_size", target.alias("target"), whole.alias("whole"))
+    return staged(out.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+
+
 def plan_mix(sized: DataFrame, most: int, cycle: Sequence[float]) -> DataFrame:
-    """One row per source: s, source_size, target, whole, and of each nested level cut and left.
-
-    Names and word sums of the sources are brought to the driver."""
-    spark = sized.sparkSession
-    per = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
-    per.sort(key=lambda r: (r.source is None, (r.source or "").encode("utf-8")))
-    goal = targets([r.n for r in per], [cycle[i % len(cycle)] for i in range(len(per))], most)
-    whole = [min(most, int(t // r.n)) if r.n else 0 for r, t in zip(per, goal)]
-    plan = [(k, r.source, r.n, t, w, t - w * r.n) for k, (r, t, w) in enumerate(zip(per, goal, whole))]
-    sources = staged(spark.createDataFrame(plan, "k int, s string, source_size long, target double, whole int, rest double"), "sources")
+    """One row per source: s, source_size, target, whole, and of each nested level cut and left."""
+    sources = source_targets(sized, most, cycle)
     known = sized.where("size > 0").join(sources.select("k", "s"), F.col("source").eqNullSafe(F.col("s"))).select("k", "h", "size")
     rest = known
     budgets = sources.where("rest >= 1 and source_size > 0").select("k", F.col("rest").alias("budget"))
@@ -103,7 +108,8 @@ def plan_mix(sized: DataFrame, most: int, cycle: Sequence[float]) -> DataFrame:
     # What is left goes to the one hash above the thresholds whose words come nearest to it, if that is nearer than none.
     short = F.least(*[F.coalesce(F.col(f"left{i}"), F.lit(float("inf"))) for i in range(NESTED)])
     spare = known.join(out, "k").where((copies(most) == F.col("whole")) & (F.col("whole") < most) & (F.col("rest") >= 1))
-    spare = spare.groupBy("k", "h", short.alias("short")).agg(F.sum("size").alias("words")).where(F.col("words") < 2 * F.col("short"))
+    # Rows of one hash are copies of one size, so a size that is too large rules out its whole group before the shuffle.
+    spare = spare.where(F.col("size") < 2 * short).groupBy("k", "h", short.alias("short")).agg(F.sum("size").alias("words")).where(F.col("words") < 2 * F.col("short"))
     pick = spare.groupBy("k").agg(F.min(F.struct(F.abs(F.col("words") - F.col("short")).alias("off"), "h"))["h"].alias("last"))
     return staged(out.join(pick, "k", "left").drop("k", "rest"), "mixplan")
 
@@ -127,7 +133,8 @@ def mix(docs: DataFrame, most: int = 3, cycle: Sequence[float] = (1, 2, 3)) -> D
     share the words of all documents; a null text has size 0.  Targets stop at
     ``most`` times a source's size.  A source's taken words differ from its
     target by less than one document that is left out.  Rows repeating doc_id
-    and text share a hash and are taken together.
+    and text, or without a doc_id and of one text, share a hash and are taken
+    together.  An empty table gives no rows.
     """
     sized = staged(sizes(docs), "sizes")
     out = sized.join(plan_mix(sized, most, cycle), F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies(most, True))

@@ -4,8 +4,10 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +15,9 @@ import xxhash
 
 from ferrule.llm import embeddings, exact, fmindex, hilbert, html_crf, mixing, packing, pii, quality, simhash, substring
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+from test_mixing_whole import plain_targets  # noqa: E402
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size int, h string"
 
 
@@ -386,13 +391,6 @@ def test_pool_adjacent_is_monotone():
     assert (np.diff(v) > 0).all() and (np.diff(x) > 0).all() and abs(v[0]) < 1e-12
 
 
-def test_mixing_targets():
-    assert mixing.targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
-    assert mixing.targets([10, 100, 1000], [1, 2, 3]) == [30, 300, 780]
-    assert mixing.targets([0, 5], [1, 2]) == [0, 5]
-    assert mixing.targets([], []) == []
-
-
 def test_mixing_comes_near_targets(spark):
     rng = random.Random(5)
     texts = [" ".join("w" for _ in range(rng.choice((0, 1, 3, 10, 40, 400)))) for _ in range(600)] + [None, "", "a\x0bb c"]
@@ -405,7 +403,7 @@ def test_mixing_comes_near_targets(spark):
     for s, n in zip(sources, size):
         total[s] += n
     order = ["B", "a", "zero", "é", None]
-    goal = dict(zip(order, mixing.targets([total[s] for s in order], [1, 2, 3, 1, 2])))
+    goal = dict(zip(order, plain_targets([total[s] for s in order], [1, 2, 3, 1, 2])))
     taken = Counter()
     for r in rows:
         assert r.size == size[r.doc_id] and r.source_size == total[r.source] and abs(r.target - goal[r.source]) < 1e-6
