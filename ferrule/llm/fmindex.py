@@ -14,24 +14,28 @@ from __future__ import annotations
 import numpy as np
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of ``text`` in order, by prefix doubling; a shorter suffix comes before its extensions."""
+def suffix_array(text: np.ndarray, longest: int | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffixes of ``text`` in order, by prefix doubling; a shorter suffix comes before its extensions.
+
+    ``longest``: only that many symbols have to be in order.  Patterns up to
+    that length still have one interval each, and backward search finds it.
+    Also the ranks by the first 1, 2, 4, ... symbols."""
     n = len(text)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), []
     rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    step, order = 1, np.argsort(rank, kind="stable")
-    while True:
+    step, order, ranks = 1, np.argsort(rank, kind="stable"), [rank]
+    while rank[order[-1]] < n - 1 and step < min(n, longest or n):
         second = np.zeros(n, np.int64)
         second[: n - step] = rank[step:] + 1
         key = rank * (n + 1) + second
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
-        fresh = np.empty(n, np.int64)
-        fresh[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        rank, step = fresh, step * 2
-        if rank[order[-1]] == n - 1 or step >= n:
-            return order
+        rank = np.empty(n, np.int64)
+        rank[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
+        step *= 2
+        ranks.append(rank)
+    return order, ranks
 
 
 class BitVector:
@@ -79,12 +83,14 @@ class WaveletTree:
 class FMIndex:
     """Search over ``text``: symbols from 1 up; 0 separates sequences and never matches."""
 
-    def __init__(self, text: np.ndarray, longest: int = 0):
-        """``longest``: matching statistics will not be asked for longer patterns."""
+    def __init__(self, text: np.ndarray, longest: int = 0, weight: np.ndarray | None = None):
+        """``longest``: matching statistics will not be asked for longer patterns.  ``weight``: how often the sequence
+        of each place counts, once if not given."""
         self.size = len(text)
-        sa = suffix_array(text)
+        sa, ranks = suffix_array(text, longest or None)
         if longest:
-            self._nest(text, sa, longest)
+            self._nest(sa, ranks, longest)
+            self.hits = np.concatenate([[0], np.cumsum(np.ones(len(sa), np.int64) if weight is None else weight[sa])])
         self.tree = WaveletTree(text[sa - 1])
         width = 1 << self.tree.levels
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=width))])
@@ -92,20 +98,18 @@ class FMIndex:
         every = np.arange(width)
         self.base = self.tree.rank(every, np.zeros(width, np.int64), np.zeros(width, np.int64))[0]
 
-    def _nest(self, text: np.ndarray, sa: np.ndarray, longest: int) -> None:
+    def _nest(self, sa: np.ndarray, ranks: list[np.ndarray], longest: int) -> None:
         """Common prefix lengths of neighbouring suffixes, up to ``longest``, and where shorter ones lie on either side."""
-        n = len(text)
-        lcp = np.zeros(n + 1, np.int16)
-        alive = np.arange(1, n)
-        for _ in range(longest):
-            at = lcp[alive]
-            one, two = sa[alive - 1] + at, sa[alive] + at
-            ok = np.maximum(one, two) < n
-            ok[ok] = text[one[ok]] == text[two[ok]]
-            alive = alive[ok]
-            if not len(alive):
-                break
-            lcp[alive] += 1
+        n = len(sa)
+        lcp = np.zeros(n + 1, np.int64)
+        one, two = sa[:-1].copy(), sa[1:].copy()
+        for level in range(len(ranks) - 1, -1, -1):
+            inside = np.flatnonzero(np.maximum(one, two) < n)
+            same = inside[ranks[level][one[inside]] == ranks[level][two[inside]]]
+            one[same] += 1 << level
+            two[same] += 1 << level
+            lcp[same + 1] += 1 << level
+        lcp = np.minimum(lcp, longest).astype(np.int16)
         lcp[0] = lcp[n] = -1
         index = np.arange(n + 1)
         self.lcp, self.left, self.right = lcp, np.zeros(n + 1, np.int32), np.full(n + 1, n, np.int32)
@@ -116,14 +120,14 @@ class FMIndex:
 
     def matching_statistics(self, text: np.ndarray, begin: np.ndarray, end: np.ndarray, least_hits: int = 1) -> np.ndarray:
         """For each place of ``text`` inside the stretches begin to end: the length of the longest run of symbols that
-        starts there, stays in its stretch and occurs ``least_hits`` times or more in the index; 0 elsewhere."""
+        starts there, stays in its stretch and occurs ``least_hits`` times or more, by weight; 0 elsewhere."""
         out = np.zeros(len(text), np.int64)
         lane = np.flatnonzero(end > begin)
         begin, at = begin[lane], end[lane] - 1
         lo, hi, length = np.zeros(len(lane), np.int64), np.full(len(lane), self.size, np.int64), np.zeros(len(lane), np.int64)
         while len(at):
             a, b = self.step(text[at], lo, hi)
-            grown = b - a >= least_hits
+            grown = self.hits[b] - self.hits[a] >= least_hits
             lo, hi, length = np.where(grown, a, lo), np.where(grown, b, hi), length + grown
             out[at[grown]] = length[grown]
             # What cannot grow gives up its last symbols, or moves on if it has none.

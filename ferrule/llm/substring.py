@@ -7,10 +7,10 @@ of one minimizer.  Segments are counted by minimizer and content:
 
 * a minimizer seen once holds no repeated window;
 * the segments of any other meet in the minimizer's shard, one row for equal
-  ones.  Each shard builds a succinct FM-index of its segments, with a second
-  copy of those that occur twice or more, and backward search over its wavelet
-  tree gives the matching statistics of every place: a window is repeated
-  where they reach W words at two places;
+  ones.  Each shard builds a succinct FM-index of its segments, in which each
+  weighs as often as it occurs, and backward search over its wavelet tree gives
+  the matching statistics of every place: a window is repeated where they
+  reach W words with a weight of two;
 * a minimizer with more distinct segments than a shard should hold (a line
   that a third of all documents quote) is not given to one shard: its windows
   are counted by their own hashes, which spread over all tasks.  An index
@@ -138,9 +138,7 @@ def shard_repeats(frame: pd.DataFrame, window: int) -> pd.DataFrame:
     """The repeated windows of one shard's segments: ``mask`` has bit i for the i-th window of a segment."""
     frame = frame.drop_duplicates(["mn", "sk", "n"])  # a repeated row fetched its segments twice
     kinds = len(frame)
-    twice = frame["many"].to_numpy() > 1
     parts = [np.frombuffer(w, np.uint64) for w in frame["words"]]
-    parts += [p for p, t in zip(parts, twice) if t]
     size = np.array([len(p) for p in parts])
     symbol = np.unique(np.concatenate(parts), return_inverse=True)[1] + 1
     # Sequences are set apart by a 0 on either side.
@@ -148,8 +146,8 @@ def shard_repeats(frame: pd.DataFrame, window: int) -> pd.DataFrame:
     text = np.zeros(int(size.sum()) + len(parts) + 1, np.int64)
     text[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] = symbol
     n = frame["n"].to_numpy().astype(np.int64)
-    index = FMIndex(text, int(size.max()))
-    statistic = index.matching_statistics(text, start[:kinds], (start + size)[:kinds], least_hits=2)
+    weight = np.append(np.repeat(np.minimum(frame["many"].to_numpy(), 2), size + 1), 1)
+    statistic = FMIndex(text, int(size.max()), weight).matching_statistics(text, start, start + size, least_hits=2)
     owner = np.repeat(np.arange(kinds), n)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
     hit = statistic[start[owner] + nth] >= window
@@ -184,7 +182,7 @@ def repeated_windows(docs: DataFrame, window: int, hot_segments: int = HOT_SEGME
     kinds = found.groupBy("mn", "sk", "n").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("doc_id", "th", "at")).alias("one"))
     per = kinds.groupBy("mn").agg(F.count(F.lit(1)).alias("distinct"), F.sum("many").alias("all")).where("all > 1")
     kinds = staged(kinds.join(per, "mn").select("mn", "sk", "n", "many", "distinct", "one"), "kinds")
-    total = kinds.agg(F.coalesce(F.sum((F.col("n") + window) * F.when(F.col("many") > 1, 2).otherwise(1)), F.lit(0)).alias("w"), F.coalesce(F.max("distinct"), F.lit(0)).alias("m")).first()
+    total = kinds.agg(F.coalesce(F.sum(F.col("n") + window), F.lit(0)).alias("w"), F.coalesce(F.max("distinct"), F.lit(0)).alias("m")).first()
     wanted = kinds.select("one.*", "n", "mn", "sk", "many", (F.col("distinct") > hot_segments).alias("hot"))
     words = staged(_words_of(docs, wanted, window), "segwords")
     shards = max(1, int(total.w) // SHARD_WORDS)

@@ -31,6 +31,23 @@ def test_against_plain_search(seed, symbols):
         assert got.tolist() == want.tolist()
 
 
+def test_weights_and_bounded_order():
+    rng = np.random.default_rng(9)
+    parts = [rng.integers(1, 4, 12) for _ in range(30)]
+    many = rng.integers(1, 3, len(parts))
+    def lay(parts):
+        size = np.array([len(p) + 1 for p in parts])
+        text = np.append(np.concatenate([np.append(p, 0) for p in parts]), 0)
+        start = np.cumsum(size) - size
+        return text, start, start + size - 1
+    text, begin, end = lay(parts)
+    got = fmindex.FMIndex(text, 12, np.append(np.repeat(many, 13), 1)).matching_statistics(text, begin, end, 2)
+    # Weights count like copies, however those are laid out.
+    wide, b2, e2 = lay([*parts, *(p for p, m in zip(parts, many) if m == 2)])
+    want = fmindex.FMIndex(wide, 12).matching_statistics(wide, b2, e2, 2)
+    assert got[: len(text) - 1].tolist() == want[: len(text) - 1].tolist()
+
+
 def test_bit_vector_ranks():
     rng = np.random.default_rng(1)
     bits = (rng.random(200_000) < 0.3).astype(np.uint8)
