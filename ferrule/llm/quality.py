@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ferrule.plans.bitmap import bitmap, may_hold
+from ferrule.plans.bitmap import bitmap, held
 from ferrule.plans.staging import staged
 
 from .common import utf8
@@ -60,16 +60,20 @@ def statistics(text: bytes) -> list[float]:
     ]
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """Rows ``(doc_id, x array<float>)``, one per row of ``docs``."""
+def document_statistics(docs: DataFrame, bits: np.ndarray | None = None) -> DataFrame:
+    """Rows ``(doc_id, x array<float>)``, one per row of ``docs``; with a bitmap only of rows whose doc_id it may hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if bits is not None:
+                b = b.filter(pa.array(held(bits, b.column(2).to_numpy(zero_copy_only=False))))
             x = np.array([statistics(t) for t in utf8(b.column(1))], np.float32).reshape(-1, N_STATS)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * N_STATS, pa.int32()), pa.array(x.ravel()))
             yield pa.record_batch([b.column(0), lists], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<float>")
+    doc_id = F.col("doc_id").cast("long")
+    cols = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(doc_id).alias("h"))
+    return cols.mapInArrow(run, "doc_id long, x array<float>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -129,8 +133,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows ``(doc_id, x, y)``, staged, one per labelled doc_id: copies of a row have one label, so one is enough."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("y"))
     known = staged(known, "known")
-    some = docs.where(F.coalesce(may_hold(bitmap(known, "doc_id"), F.col("doc_id").cast("long")), F.lit(False)))
-    found = document_statistics(some).join(known, "doc_id")
+    # Looked up in the pass that makes the statistics: a filter before it would be a second Python worker per task.
+    found = document_statistics(docs, bitmap(known, "doc_id")).join(known, "doc_id")
     return staged(found.groupBy("doc_id").agg(F.first("x").alias("x"), F.first("y").alias("y")), "train")
 
 
