@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ferrule.plans.ranking import ranked
+
 
 def sort_by(df: DataFrame, keys: Sequence[str], tie: str) -> DataFrame:
     """Rows ordered by keys, ``-key`` descending, then by ``tie``."""
@@ -50,15 +52,14 @@ def stratified_split(df: DataFrame, stratum: str, id_column: str, train_fraction
     """``split``: train or test.  Every stratum gives the same number to train, int(f n / strata) but 1 at least."""
     sizes = df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(stratum).alias("s"))
     need = F.greatest(F.floor(F.floor(F.lit(train_fraction) * F.col("n")) / F.col("s")), F.lit(1))
-    w = W.partitionBy(stratum).orderBy(shuffled(id_column, seed), id_column)
-    out = df.crossJoin(F.broadcast(sizes.select(need.alias("__need"))))  # one row
-    return out.withColumn("split", F.when(F.row_number().over(w) <= F.col("__need"), "train").otherwise("test")).drop("__need")
+    rows = ranked(df.withColumn("__key", shuffled(id_column, seed)), [stratum], ["__key", id_column])
+    out = rows.crossJoin(F.broadcast(sizes.select(need.alias("__need"))))  # one row
+    return out.withColumn("split", F.when(F.col("rank") <= F.col("__need"), "train").otherwise("test")).drop("__need", "__key", "rank")
 
 
 def split_file(df: DataFrame, order: str, per_file: int, group: Sequence[str] = ()) -> DataFrame:
     """``file``: chunks of ``per_file`` rows in order within each group."""
-    w = W.partitionBy(*group).orderBy(order) if group else W.orderBy(order)
-    return df.withColumn("file", F.floor((F.row_number().over(w) - 1) / per_file).cast("long"))
+    return ranked(df, group, [order]).withColumn("file", F.floor((F.col("rank") - 1) / per_file).cast("long")).drop("rank")
 
 
 def random_neighbours(df: DataFrame, item: str, neighbour: str, distance: str, n: int, seed: int = 0, favour_close: bool = False) -> DataFrame:

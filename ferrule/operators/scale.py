@@ -7,6 +7,8 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ferrule.plans.ranking import ranked
+
 Ranges = dict[str, dict[str, float]]
 
 
@@ -132,7 +134,7 @@ def fingerprint_of_tokens(df: DataFrame, id_column: str, tokens: Column) -> Data
 def bit_dictionary(fp: DataFrame) -> DataFrame:
     """Rows ``(bit, ordinal, n)``: bits numbered from 0 by falling frequency, then by number."""
     counts = fp.groupBy("bit").agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("bit", (F.row_number().over(W.orderBy(F.desc("n"), "bit")) - 1).cast("long").alias("ordinal"), "n")
+    return ranked(counts, [], [F.desc("n"), "bit"]).select("bit", (F.col("rank") - 1).alias("ordinal"), "n")
 
 
 def supported_bits(fp: DataFrame, least: int = 1, most: int | None = None) -> DataFrame:

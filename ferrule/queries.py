@@ -919,80 +919,126 @@ def st_tumbling(spark, sf):
     return rounded(spark.read.parquet(f"{base}/out"), 4, "total").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
-# -- molecules: no SQL can say what these compute; tests hold them against known values -----------
-
-MOLECULES = """ClC1=C(N2CCOCC2)C=CC(=C1)NCC1=CC=C(OCC=C)C=C1 m1
-O=C(C)C=CC=C(C)CCC=C(C)C m2
-S1C(=CC=C1)C=C1CCCCC(=CC2=CC=CS2)C1=O m3
-FC(F)(F)C1=CC=CC=C1C(=O)OC(C)CCC m4
-O=C1C=C(N(C)C(=C1)C(=O)O)C(=O)O m5
-O1[C@@H](CCC1)CNC1=CC(=O)C[C@H](C1)C1=CC=C(OC)C=C1 m6
-BrC1=C(C)C=C(N=NN)C=C1C m7
-CC(=O)Oc1ccccc1C(=O)O m8
-OC(=O)c1ccccc1OC(C)=O m9
-Cn1cnc2c1c(=O)n(C)c(=O)n2C m10
-[Na+].[O-]C(=O)c1ccccc1 m11
-NCCc1ccccc1 m12
-NCC(C)C m13
-CC(C)(C)OC(=O)N1CCC(CC1)c1nc2ccccc2s1 m14
-C1CC m15"""
-
-
-def molecules(spark: SparkSession) -> DataFrame:
+# -- molecules --------------------------------------------------------------------
+#
+# A molecule is made of each row of ``part``: a core with a substituent at either end, drawn by the key.  What adds up over
+# the three can be said in SQL; canonical smiles are compared by the rows that share them.
+
+_LEFT = ("C", "CC", "O", "N", "Cl", "COC")
+_CORE = ("c1ccc(cc1)", "c1ccc(nc1)", "N1CCN(CC1)", "C1CCC(CC1)", "CC", "c1ccc2cc(ccc2c1)", "C(=O)N", "S(=O)(=O)N")
+_RIGHT = ("C", "O", "F", "C(=O)O", "C#N", "OC")
+
+#: Atoms of the pieces: kind, place, C, H, Cl, F, N, O, S, hydrogens on N or O.
+_MOL = """WITH piece(kind, i, c, h, cl, f, n, o, s, d) AS (VALUES
+('a', 0, 1, 3, 0, 0, 0, 0, 0, 0), ('a', 1, 2, 5, 0, 0, 0, 0, 0, 0), ('a', 2, 0, 1, 0, 0, 0, 1, 0, 1), ('a', 3, 0, 2, 0, 0, 1, 0, 0, 2), ('a', 4, 0, 0, 1, 0, 0, 0, 0, 0), ('a', 5, 2, 5, 0, 0, 0, 1, 0, 0),
+('k', 0, 6, 4, 0, 0, 0, 0, 0, 0), ('k', 1, 5, 3, 0, 0, 1, 0, 0, 0), ('k', 2, 4, 8, 0, 0, 2, 0, 0, 0), ('k', 3, 6, 10, 0, 0, 0, 0, 0, 0), ('k', 4, 2, 4, 0, 0, 0, 0, 0, 0), ('k', 5, 10, 6, 0, 0, 0, 0, 0, 0), ('k', 6, 1, 1, 0, 0, 1, 1, 0, 1), ('k', 7, 0, 1, 0, 0, 1, 2, 1, 1),
+('b', 0, 1, 3, 0, 0, 0, 0, 0, 0), ('b', 1, 0, 1, 0, 0, 0, 1, 0, 1), ('b', 2, 0, 0, 0, 1, 0, 0, 0, 0), ('b', 3, 1, 1, 0, 0, 0, 2, 0, 1), ('b', 4, 1, 0, 0, 0, 1, 0, 0, 0), ('b', 5, 1, 3, 0, 0, 0, 1, 0, 0)),
+mol AS (SELECT p_partkey AS ord, 'p' || p_partkey AS id, (p_partkey // 8 % 6)::INT AS a, (p_partkey % 8)::INT AS k, (p_partkey // 48 % 6)::INT AS b FROM part),
+atoms AS (SELECT ord, id, sum(c)::INT AS c, sum(h)::INT AS h, sum(cl)::INT AS cl, sum(f)::INT AS f, sum(n)::INT AS n, sum(o)::INT AS o, sum(s)::INT AS s, sum(d)::INT AS d
+FROM mol JOIN piece ON (kind = 'a' AND i = a) OR (kind = 'k' AND i = k) OR (kind = 'b' AND i = b) GROUP BY ALL),
+-- Cores that look alike from both ends, and two ways to write butyl methyl ether.
+same AS (SELECT ord, id, a, k, b, CASE WHEN k IN (0, 2, 3, 4, 5) AND a = 2 AND b = 0 THEN k || ':0:1' WHEN k = 4 AND a = 5 AND b = 0 THEN '4:1:5' ELSE k || ':' || a || ':' || b END AS key FROM mol)"""
+_HILL = "concat_ws('', " + ", ".join(f"CASE WHEN {c} = 1 THEN '{e}' WHEN {c} > 1 THEN '{e}' || {c} END" for c, e in (("c", "C"), ("CASE WHEN c > 0 THEN h ELSE 0 END", "H"), ("cl", "Cl"), ("f", "F"), ("CASE WHEN c = 0 THEN h ELSE 0 END", "H"), ("n", "N"), ("o", "O"), ("s", "S"))) + ")"
+_AMW = "c * 12.011::DOUBLE + h * 1.008 + cl * 35.45 + f * 18.998 + n * 14.007 + o * 15.999 + s * 32.06"
+
+#: For operators that multiply their input: a few molecules with rings, charges, salts and groups that react.
+MOLECULES = """CC(=O)Oc1ccccc1C(=O)O m1
+OC(=O)c1ccccc1OC(C)=O m2
+Cn1cnc2c1c(=O)n(C)c(=O)n2C m3
+[Na+].[O-]C(=O)c1ccccc1 m4
+NCCc1ccccc1 m5
+NCC(C)C m6
+Brc1ccc(OC)cc1 m7
+CC(=O)Nc1ccc(O)cc1 m8
+OC(=O)C1CCNCC1 m9
+FC(F)(F)c1ccc(Cl)cc1 m10
+CC(C)Cc1ccc(cc1)C(C)C(=O)O m11
+C1CCC2CCCCC2C1 m12
+C1CC m13"""
+
+
+def few_molecules(spark: SparkSession) -> DataFrame:
     rows = [(i, *line.split()) for i, line in enumerate(MOLECULES.split("\n"))]
     return spark.createDataFrame(rows, "ord long, smiles string, id string")
 
 
-def _chem(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
+def molecules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows ``(ord, smiles, id)``, one of each row of ``part``."""
+    key = F.col("p_partkey")
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), (at % len(names) + 1).cast("int"))
+    smiles = F.concat(pick(_LEFT, F.floor(key / 8)), pick(_CORE, key), pick(_RIGHT, F.floor(key / 48)))
+    return spread(t(spark, sf, "part").select(key.alias("ord"), smiles.alias("smiles"), F.concat(F.lit("p"), key.cast("string")).alias("id")))
+
+
+def _chem(name: str, f: Callable[[DataFrame], DataFrame], sql: str | None = None, few: bool = False) -> None:
     def run(spark, sf):
-        return f(molecules(spark))
+        return f(few_molecules(spark) if few else molecules(spark, sf))
 
     QUERIES[name] = shipped(run)
+    if sql is not None:
+        ORACLES[name] = sql
+
 
+def _first_of_same(m: DataFrame) -> DataFrame:
+    """Formula and masses, and the first row with the same canonical smiles."""
+    c = F.col("smiles")
+    rows = m.select("ord", "id", frames.canonical(c).alias("key"), frames.formula(c).alias("formula"), F.round(frames.weight(c), 3).alias("amw"))
+    first = rows.groupBy("key").agg(F.min("ord").alias("first"))
+    return rows.join(first, "key").select("id", "formula", "amw", "first")
 
-_chem("c_canonical", lambda m: m.select("id", frames.canonical(F.col("smiles")).alias("canonical"), frames.formula(F.col("smiles")).alias("formula"), frames.weight(F.col("smiles")).alias("amw"), frames.exact_mass(F.col("smiles")).alias("mass")))
+
+_chem("c_canonical", _first_of_same, f"{_MOL}, f AS (SELECT key, min(ord) AS first FROM same GROUP BY key) SELECT atoms.id, {_HILL} AS formula, round({_AMW}, 3) AS amw, f.first FROM atoms JOIN same USING (ord) JOIN f USING (key)")
 _chem("c_descriptors", frames.describe)
-_chem("c_rule_of_five", frames.rule_of_five)
+_chem("c_rule_of_five", lambda m: frames.rule_of_five(m).select("id", F.col("ro5_nhoh").cast("int").alias("ro5_nhoh"), F.col("ro5_no").cast("int").alias("ro5_no"), F.col("natoms").cast("int").alias("natoms")), f"{_MOL} SELECT id, d AS ro5_nhoh, n + o AS ro5_no, c + cl + f + n + o + s AS natoms FROM atoms")
 _chem("c_topology", frames.topology)
-_chem("c_ring_table", enumeration.ring_table)
-_chem("c_core_table", enumeration.core_table)
-_chem("c_ring_replacement", lambda m: enumeration.replace(m, enumeration.ring_table(m)))
-_chem("c_core_replacement", lambda m: enumeration.replace(m, enumeration.core_table(m), "core"))
-_chem("c_mutations", lambda m: enumeration.mutations(m, tries=10, seed=1))
+_chem("c_ring_table", enumeration.ring_table, few=True)
+_chem("c_core_table", enumeration.core_table, few=True)
+_chem("c_ring_replacement", lambda m: enumeration.replace(m, enumeration.ring_table(m)), few=True)
+_chem("c_core_replacement", lambda m: enumeration.replace(m, enumeration.core_table(m), "core"), few=True)
+_chem("c_mutations", lambda m: enumeration.mutations(m, tries=10, seed=1), few=True)
 _chem("c_separations", enumeration.separations)
-_chem("c_listed_products", lambda m: enumeration.listed_products(m.select(F.lit("m8").alias("id1"), F.lit("m13").alias("id2")).distinct(), m, "[C:1](=[O:2])[OH].[NH2:3][C:4]>>[C:1](=[O:2])[NH:3][C:4]"))
-_chem("c_substructure", lambda m: m.where(frames.substructure(F.col("smiles"), "C(C)(=O)C")).select("id"))
-_chem("c_embeddings", lambda m: m.select("id", frames.embeddings(F.col("smiles"), "c1ccccc1").alias("atoms")))
-_chem("c_match_counts", lambda m: frames.match_counts(m, {"acid": "C(=O)[OH,O-]", "ether": "C-O-C", "ring": "a1aaaaa1"}))
+_chem("c_listed_products", lambda m: enumeration.listed_products(m.select(F.lit("m1").alias("id1"), F.lit("m6").alias("id2")).distinct(), m, "[C:1](=[O:2])[OH].[NH2:3][C:4]>>[C:1](=[O:2])[NH:3][C:4]"), few=True)
+_chem("c_substructure", lambda m: m.where(frames.substructure(F.col("smiles"), "c1ccccc1")).select("id"), f"{_MOL} SELECT id FROM mol WHERE k IN (0, 5)")
+_chem("c_embeddings", lambda m: m.select("id", F.size(frames.embeddings(F.col("smiles"), "c1ccccc1")).alias("hits")), f"{_MOL} SELECT id, CASE k WHEN 0 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS hits FROM mol")
+_chem("c_match_counts", lambda m: frames.match_counts(m, {"acid": "C(=O)[OH,O-]", "ether": "C-O-C", "ring": "a1aaaaa1", "nitrile": "C#N", "halogen": "[F,Cl]"}).drop("smiles", "ord"), f"""{_MOL} SELECT id, (b = 3)::INT + (a = 2 AND k = 6)::INT AS acid, (a = 5)::INT + (b = 5 AND k IN (3, 4))::INT AS ether,
+CASE k WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS ring, (b = 4)::INT AS nitrile, (a = 4)::INT + (b = 2)::INT AS halogen FROM mol""")
 for _kind in ("linear", "circular", "pairs", "torsions", "rings", "ring_substitution", "rotatable", "keys"):
     _chem(f"c_fp_{_kind}", lambda m, k=_kind: frames.fingerprint(m, k))
 _chem("c_properties", lambda m: m.select("id", frames.properties(F.col("smiles")).alias("mpr")))
 _chem("c_dicer", lambda m: frames.dicer(m, depth=2, low=3))
 _chem("c_dicer_statistics", lambda m: frames.fragment_statistics(frames.dicer(m, depth=1)))
 _chem("c_cores", frames.cores)
-_chem("c_scaffolds", frames.scaffolds)
-_chem("c_murcko", frames.murcko)
+
+_RING_FORMULA = "CASE k WHEN 0 THEN 'C6H6' WHEN 1 THEN 'C5H5N' WHEN 2 THEN 'C4H10N2' WHEN 3 THEN 'C6H12' WHEN 5 THEN 'C10H8' END"
+
+
+def _product_formula(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    return lambda m: f(m).select("id", frames.formula(F.col("product")).alias("formula"))
+
+
+_chem("c_scaffolds", _product_formula(frames.scaffolds), f"{_MOL} SELECT id, {_RING_FORMULA} AS formula FROM mol WHERE k IN (0, 1, 2, 3, 5)")
+_chem("c_murcko", _product_formula(frames.murcko), f"{_MOL} SELECT id, {_RING_FORMULA} AS formula FROM mol WHERE k IN (0, 1, 2, 3, 5)")
 _chem("c_skeletons", frames.skeletons)
-_chem("c_rings", frames.rings)
+_chem("c_rings", _product_formula(frames.rings), f"{_MOL} SELECT id, {_RING_FORMULA} AS formula FROM mol WHERE k IN (0, 1, 2, 3, 5)")
 _chem("c_ring_trimming", frames.trimmed)
 _chem("c_substituents", lambda m: frames.substituents(m, "c1ccccc1"))
 _chem("c_subset", lambda m: frames.matched_atoms(m, "C(=O)O"))
 _chem("c_remove_and_label", lambda m: frames.without_matched(m, "C(=O)[OH]", label=1))
-_chem("c_random_smiles", lambda m: frames.random_smiles(m, 3, seed=1))
-_chem("c_standardise", lambda m: m.select("id", frames.standardise(F.col("smiles")).alias("standard")))
-_chem("c_tautomers", frames.tautomers)
-_chem("c_reaction", lambda m: frames.react(m, "[c:1]Br>>[c:1]C#N"))
-_chem("c_library", lambda m: frames.enumerate_library(m.select("id", "smiles"), m.select("id", "smiles"), "[C:1](=[O:2])[OH].[NH2:3][C:4]>>[C:1](=[O:2])[NH:3][C:4]"))
+_chem("c_random_smiles", lambda m: frames.random_smiles(m, 3, seed=1).join(m.select("id", "smiles"), "id").select("id", (frames.canonical(F.col("product")) == frames.canonical(F.col("smiles"))).alias("same")), f"{_MOL} SELECT id, unnest([true, true, true]) AS same FROM mol")
+_chem("c_standardise", lambda m: m.select("id", frames.formula(frames.standardise(F.col("smiles"))).alias("formula")), f"{_MOL} SELECT id, {_HILL} AS formula FROM atoms")
+_chem("c_tautomers", frames.tautomers, few=True)
+_chem("c_reaction", lambda m: frames.react(m, "[c:1]F>>[c:1]C#N").select("id", F.round(frames.weight(F.col("product")), 3).alias("amw")), f"{_MOL} SELECT id, round({_AMW.replace('c * 12', '(c + 1) * 12').replace('f * 18', '(f - 1) * 18').replace('n * 14', '(n + 1) * 14')}, 3) AS amw FROM atoms JOIN mol USING (ord, id) WHERE b = 2 AND k IN (0, 1, 5)")
+_chem("c_library", lambda m: frames.enumerate_library(m.select("id", "smiles"), m.select("id", "smiles"), "[C:1](=[O:2])[OH].[NH2:3][C:4]>>[C:1](=[O:2])[NH:3][C:4]"), few=True)
 _chem("c_demerits", lambda m: frames.demerits(m))
 _chem("c_first_pass", lambda m: m.select("id", frames.first_pass(F.col("smiles"), low=5).alias("reason")))
 _chem("c_first_pass_summary", lambda m: aggregate.reason_summary(m.withColumn("reason", F.coalesce(frames.first_pass(F.col("smiles"), low=5), F.lit("passed"))), F.col("reason"), "id"))
 _chem("c_need_available", lambda m: m.where(frames.need_available(F.col("smiles"), [("c1ccccc1", "[O]", 1)])).select("id"))
-_chem("c_unique", lambda m: frames.unique_molecules(m, "ord")[0])
-_chem("c_duplicates", lambda m: frames.unique_molecules(m, "ord")[1])
-_chem("c_sort", lambda m: frames.sort_molecules(m, ["-nrings", "natoms"], "ord"))
-_chem("c_common_names", lambda m: aggregate.common_names(m.withColumn("key", frames.structure_key(F.col("smiles"))).where("key is not null"), "key", "id", "ord", sep="+"))
+_chem("c_unique", lambda m: frames.unique_molecules(m, "ord")[0].select("id"), f"{_MOL} SELECT arg_min(id, ord) AS id FROM same GROUP BY key")
+_chem("c_duplicates", lambda m: frames.unique_molecules(m, "ord")[1].select("id"), f"{_MOL} SELECT id FROM same QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) > 1")
+_chem("c_sort", lambda m: frames.sort_molecules(m, ["-nrings", "natoms"], "ord").select("id", F.col("nrings").cast("int").alias("nrings"), F.col("natoms").cast("int").alias("natoms")), f"{_MOL} SELECT id, CASE WHEN k IN (4, 6, 7) THEN 0 WHEN k = 5 THEN 2 ELSE 1 END AS nrings, c + cl + f + n + o + s AS natoms FROM atoms JOIN mol USING (ord, id)")
+_chem("c_common_names", lambda m: aggregate.common_names(m.withColumn("key", frames.structure_key(F.col("smiles"))).where("key is not null"), "key", "id", "ord", sep="+").select("names", "n"), f"{_MOL} SELECT string_agg(id, '+' ORDER BY ord) AS names, count(*) AS n FROM same GROUP BY key")
 _chem("c_activity", lambda m: aggregate.activity_consistency(m.withColumn("key", frames.structure_key(F.col("smiles"), graph=True)).where("key is not null").withColumn("act", F.col("ord") * 1.5), "key", "act", "id", "ord")[0])
-_chem("c_nearest", lambda m: similarity.nearest(similarity.pair_distances(frames.fingerprint(m), frames.fingerprint(m), same=True), 3))
+_chem("c_nearest", lambda m: similarity.nearest(similarity.pair_distances(frames.fingerprint(m), frames.fingerprint(m), same=True), 3), few=True)
 
 
 @query()

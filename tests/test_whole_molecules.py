@@ -21,7 +21,7 @@ def test_tautomers_are_not_cut(spark):
 
 
 def test_large_cores_are_tried(spark):
-    m = queries.molecules(spark)
+    m = queries.few_molecules(spark)
     want = {tuple(r) for r in enumeration.replace(m, enumeration.core_table(m), "core").collect()}
     cut = {tuple(r) for r in enumeration.replace(m, enumeration.core_table(m).where("length(product) < 15"), "core").collect()}
     got = {tuple(r) for r in queries.QUERIES["c_core_replacement"](spark, "/root/testdata/sf0.001").collect()}
