@@ -39,6 +39,25 @@ def on_molecule(f: Callable[[Molecule], object], kind: str) -> Callable[[Column]
     return run
 
 
+def rejects(df: DataFrame, column: str = "smiles") -> DataFrame:
+    """The rows that are no molecule, which every other function here leaves out or gives a null, with ``reason``."""
+
+    @F.pandas_udf("string")
+    def why(smiles: pd.Series) -> pd.Series:
+        def one(s):
+            if not isinstance(s, str):
+                return "null"
+            try:
+                parse(s)
+            except (SmilesError, IndexError, RecursionError) as e:
+                return f"{type(e).__name__}: {e}"
+            return None
+
+        return pd.Series([one(s) for s in smiles], dtype=object)
+
+    return df.withColumn("reason", why(column)).where("reason is not null")
+
+
 def canonical(c: Column, largest: bool = False, chirality: bool = True) -> Column:
     return on_molecule(lambda m: (m.largest_fragment() if largest else m).smiles(chirality=chirality), "string")(c)
 

@@ -23,14 +23,15 @@ def total(a: Column) -> Column:
     return F.aggregate(F.map_values(a), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def _over(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
-    """Sum of f over the bits of ``a``, with the other's count (0 if absent)."""
-    return F.aggregate(F.map_keys(a), F.lit(0.0), lambda s, k: s + _d(f(F.element_at(a, k), F.coalesce(F.try_element_at(b, k), F.lit(0)))))
+def _shared(a: Column, b: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """Sum of f over the bits of both; one pass over either map."""
+    both = F.map_zip_with(a, b, lambda k, x, y: _d(F.when(x.isNotNull() & y.isNotNull(), f(x, y)).otherwise(F.lit(0))))
+    return F.aggregate(F.map_values(both), F.lit(0.0), lambda s, x: s + x)
 
 
 def common(a: Column, b: Column) -> Column:
     """Sum of the lesser counts."""
-    return _over(a, b, F.least)
+    return _shared(a, b, F.least)
 
 
 def _guard(na: Column, nb: Column, value: Column, both: float = 1.0) -> Column:
@@ -54,7 +55,7 @@ def dice(a: Column, b: Column) -> Column:
 
 
 def dot(a: Column, b: Column) -> Column:
-    return _over(a, b, lambda x, y: x * y)
+    return _shared(a, b, lambda x, y: x * y)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -85,8 +86,7 @@ def soergel(a: Column, b: Column) -> Column:
 def soergel_mean(a: Column, b: Column) -> Column:
     """1 - mean over bits of |a-b| / max; a bit of one only adds 1."""
     n = F.size(F.array_union(F.map_keys(a), F.map_keys(b)))
-    shared = F.aggregate(F.array_intersect(F.map_keys(a), F.map_keys(b)), F.lit(0.0), lambda s, k: s + F.least(F.element_at(a, k), F.element_at(b, k)) / F.greatest(F.element_at(a, k), F.element_at(b, k)))
-    return F.when(n == 0, F.lit(1.0)).otherwise(shared / n)
+    return F.when(n == 0, F.lit(1.0)).otherwise(_shared(a, b, lambda x, y: F.least(x, y) / F.greatest(x, y)) / n)
 
 
 def tversky(a: Column, b: Column, alpha: float, beta: float) -> Column:
@@ -100,9 +100,9 @@ def optimistic_distance(a: Column, b: Column, alpha: float, beta: float) -> Colu
 
 def vector_difference(a: Column, b: Column) -> Column:
     """Counts of ``a`` less those of ``b``; bits that come to nothing go."""
-    keys = F.array_union(F.map_keys(a), F.map_keys(b))
     zero = F.lit(0)
-    return F.map_filter(F.map_from_arrays(keys, F.transform(keys, lambda k: F.coalesce(F.try_element_at(a, k), zero) - F.coalesce(F.try_element_at(b, k), zero))), lambda _, v: v != 0)
+    both = F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, zero) - F.coalesce(y, zero))
+    return F.map_filter(both, lambda _, v: v != 0)
 
 
 # Dense fingerprints.

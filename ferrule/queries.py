@@ -783,7 +783,14 @@ def _doc_items(spark, sf):
     return t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("ord"))
 
 
-@query()
+_NEAR = f"""WITH RECURSIVE {_DOC}, {_PAIRS}, e AS MATERIALIZED (SELECT a, b, d FROM d WHERE d <= 0.3 + 1e-12 UNION ALL SELECT b, a, d FROM d WHERE d <= 0.3 + 1e-12),
+nb AS MATERIALIZED (SELECT row_number() OVER (ORDER BY a) AS o, a AS id, list(b) AS nb FROM e GROUP BY a)"""
+
+
+# Items in order: one without a leader among its neighbours leads; the first leader takes the others.
+@query(f"""{_NEAR}, r AS (SELECT 0::BIGINT AS o, []::BIGINT[] AS ls UNION ALL SELECT nb.o, CASE WHEN list_has_any(r.ls, nb.nb) THEN r.ls ELSE list_append(r.ls, nb.id) END FROM r JOIN nb ON nb.o = r.o + 1),
+l AS (SELECT unnest(ls) AS leader FROM r WHERE o = (SELECT max(o) FROM nb)), taken AS (SELECT a AS id, min(b) AS leader, arg_min(d, b) AS d FROM e JOIN l ON b = leader WHERE a NOT IN (SELECT leader FROM l) GROUP BY a)
+SELECT doc_id AS id, coalesce(leader, doc_id) AS leader, round(coalesce(d, 0.0), 9) AS d FROM documents LEFT JOIN taken ON doc_id = id""")
 def f27_leader(spark, sf):
     """Sphere exclusion of documents within 0.3 in order of doc_id."""
     return rounded(cluster.leader(_doc_items(spark, sf), _doc_edges(spark, sf)), 9, "d")
@@ -795,7 +802,12 @@ def f33_single_linkage(spark, sf):
     return cluster.single_linkage(_doc_items(spark, sf), _doc_edges(spark, sf))
 
 
-@query()
+# Again and again the item with most neighbours left, ties by number, and those neighbours.
+@query(f"""{_NEAR}, r AS (SELECT (SELECT list(id) FROM nb) AS rem, NULL::BIGINT AS pick, []::BIGINT[] AS members UNION ALL
+SELECT list_filter(rem, lambda x: x <> best.id AND NOT list_contains(best.nb, x)), best.id, list_intersect(best.nb, rem) FROM
+(SELECT r.rem, min({{'c': -len(list_intersect(nb.nb, r.rem)), 'id': nb.id, 'nb': nb.nb}}) AS best FROM r JOIN nb ON list_contains(r.rem, nb.id) GROUP BY r.rem)),
+c AS (SELECT pick AS leader, unnest(members) AS id FROM r WHERE pick IS NOT NULL), t AS (SELECT c.id, c.leader, e.d FROM c JOIN e ON e.a = c.id AND e.b = c.leader)
+SELECT doc_id AS id, coalesce(leader, doc_id) AS leader, round(coalesce(d, 0.0), 9) AS d FROM documents LEFT JOIN t ON doc_id = id""")
 def f34_taylor_butina(spark, sf):
     return rounded(cluster.taylor_butina(_doc_items(spark, sf), _doc_edges(spark, sf)), 9, "d")
 
@@ -809,7 +821,11 @@ def f35_jarvis_patrick(spark, sf):
     return cluster.jarvis_patrick(t(spark, sf, "benchmark").select(F.col("item_id").alias("id")), near, 6, 4)
 
 
-@query()
+@query("""WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE) AS q FROM embeddings), u AS MATERIALIZED (SELECT id, list_transform(q, lambda x: x / sqrt(list_inner_product(q, q))) AS p FROM v),
+r AS (SELECT 0 AS pick, id, NULL::BIGINT AS nearest, NULL::DOUBLE AS d, [id] AS ids, [p] AS ps FROM u WHERE id = (SELECT min(vec_id) FROM embeddings) UNION ALL
+SELECT pick + 1, best.id, ids[list_position(best.ds, -best.f)], -best.f, list_append(ids, best.id), list_append(ps, best.p) FROM
+(SELECT r.pick, r.ids, r.ps, min({'f': -list_min(list_transform(r.ps, lambda x: 1 - list_inner_product(x, u.p))), 'id': u.id, 'p': u.p, 'ds': list_transform(r.ps, lambda x: 1 - list_inner_product(x, u.p))}) AS best
+FROM r JOIN u ON NOT list_contains(r.ids, u.id) WHERE r.pick < 11 GROUP BY ALL)) SELECT pick, id, nearest, round(d, 9) AS d FROM r""")
 def f29_spread(spark, sf):
     """Twelve vectors far from one another, by cosine."""
     def apart(p):
@@ -839,7 +855,10 @@ def f38_bayes_classify(spark, sf):
     return rounded(models.classify(models.bayes_scores(fp, model)), 6, "score")
 
 
-@query()
+@query(f"""WITH {_ITEM}, y AS (SELECT item_id AS id, length(text) % 2 AS label, (('0x' || substr(md5('0:' || item_id), 1, 8))::BIGINT % 3)::INT AS fold FROM benchmark), tr AS (SELECT k, id, label FROM y JOIN (SELECT unnest([0, 1, 2]) AS k) ON fold <> k),
+p AS (SELECT k, label, count(*) / (sum(count(*)) OVER (PARTITION BY k))::DOUBLE AS p FROM tr GROUP BY k, label), t AS (SELECT k, id, bit, label FROM fp JOIN tr USING (id)), nb AS (SELECT k, bit, count(*) AS nb FROM t GROUP BY ALL), nc AS (SELECT k, bit, label, count(*) AS n FROM t GROUP BY ALL),
+m AS (SELECT nb.k, nb.bit, p.label, ln((coalesce(n, 0) + 1.0) / (nb * p + 1.0)) AS w FROM nb JOIN p ON p.k = nb.k LEFT JOIN nc ON nc.k = nb.k AND nc.bit = nb.bit AND nc.label = p.label),
+s AS (SELECT id, fold, m.label, sum(w) AS score FROM fp JOIN y USING (id) JOIN m ON m.k = y.fold AND m.bit = fp.bit GROUP BY ALL) SELECT id, fold, label, round(score, 9) AS score FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, label) = 1""")
 def f38_bayes_folds(spark, sf):
     return rounded(models.cross_validate(item_fp(spark, sf), t(spark, sf, "benchmark").select("item_id", (F.length("text") % 2).alias("c")), "item_id", "c", 3), 9, "score")
 
@@ -954,7 +973,8 @@ OC(=O)C1CCNCC1 m9
 FC(F)(F)c1ccc(Cl)cc1 m10
 CC(C)Cc1ccc(cc1)C(C)C(=O)O m11
 C1CCC2CCCCC2C1 m12
-C1CC m13"""
+C1CC m13
+COc1ccc2nc(sc2c1)N1CCOCC1 m14"""
 
 
 def few_molecules(spark: SparkSession) -> DataFrame:
@@ -988,6 +1008,8 @@ def _first_of_same(m: DataFrame) -> DataFrame:
 
 
 _chem("c_canonical", _first_of_same, f"{_MOL}, f AS (SELECT key, min(ord) AS first FROM same GROUP BY key) SELECT atoms.id, {_HILL} AS formula, round({_AMW}, 3) AS amw, f.first FROM atoms JOIN same USING (ord) JOIN f USING (key)")
+_chem("c_rejects", lambda m: frames.rejects(m).select("id"), few=True)
+ORACLES["c_rejects"] = "SELECT 'm13' AS id"
 _chem("c_descriptors", frames.describe)
 _chem("c_rule_of_five", lambda m: frames.rule_of_five(m).select("id", F.col("ro5_nhoh").cast("int").alias("ro5_nhoh"), F.col("ro5_no").cast("int").alias("ro5_no"), F.col("natoms").cast("int").alias("natoms")), f"{_MOL} SELECT id, d AS ro5_nhoh, n + o AS ro5_no, c + cl + f + n + o + s AS natoms FROM atoms")
 _chem("c_topology", frames.topology)
@@ -1020,7 +1042,7 @@ _chem("c_scaffolds", _product_formula(frames.scaffolds), f"{_MOL} SELECT id, {_R
 _chem("c_murcko", _product_formula(frames.murcko), f"{_MOL} SELECT id, {_RING_FORMULA} AS formula FROM mol WHERE k IN (0, 1, 2, 3, 5)")
 _chem("c_skeletons", frames.skeletons)
 _chem("c_rings", _product_formula(frames.rings), f"{_MOL} SELECT id, {_RING_FORMULA} AS formula FROM mol WHERE k IN (0, 1, 2, 3, 5)")
-_chem("c_ring_trimming", frames.trimmed)
+_chem("c_ring_trimming", frames.trimmed, few=True)
 _chem("c_substituents", lambda m: frames.substituents(m, "c1ccccc1"))
 _chem("c_subset", lambda m: frames.matched_atoms(m, "C(=O)O"))
 _chem("c_remove_and_label", lambda m: frames.without_matched(m, "C(=O)[OH]", label=1))
