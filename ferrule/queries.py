@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,6 +16,7 @@ from ferrule.plans.shipping import shipped
 from ferrule.plans.spreading import spread
 from ferrule.plans.staging import shared_dir, staged
 from ferrule.sources import records
+from ferrule.streaming import filter_mode
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -921,13 +923,9 @@ def x_strings(spark, sf):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def st_tumbling(spark, sf):
     """A stream of events counted by hour: run to the end of its input, the finished table read back."""
-    import uuid
-
-    from ferrule.streaming.filter_mode import windowed_counts
-
     static = t(spark, sf, "events")
     stream = spark.readStream.schema(static.schema).parquet(f"{sf}/events.parquet*")
-    out = windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", None, ["event_type"], "value", "1 hour")
+    out = filter_mode.windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", None, ["event_type"], "value", "1 hour")
     name = f"st_{uuid.uuid4().hex}"
     base = f"{shared_dir(spark)}/{name}"
 
@@ -938,6 +936,51 @@ def st_tumbling(spark, sf):
     return rounded(spark.read.parquet(f"{base}/out"), 4, "total").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
+# -- sources and sinks: written in a format and read back -----------------------------
+
+
+def _folder(spark: SparkSession, tag: str) -> str:
+    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def _lines(spark, sf) -> str:
+    path = _folder(spark, "lines")
+    t(spark, sf, "part").select(F.concat_ws(" ", "p_partkey", "p_brand", "p_type").alias("value")).write.option("compression", "gzip").text(path)
+    return path
+
+
+@query("SELECT p_partkey || ' ' || p_brand || ' ' || p_type AS value FROM part WHERE p_type LIKE '%ECONOMY%' AND NOT p_brand LIKE '%3%'")
+def s_text(spark, sf):
+    """Lines of gzip files, filtered while they are read."""
+    return records.text_records(spark, _lines(spark, sf), keep="ECONOMY", ignore=r"#\S*3").select("value")
+
+
+@query("SELECT count(*) AS n FROM part WHERE p_partkey % 10 = 7")
+def s_count(spark, sf):
+    return spark.createDataFrame([(records.count_matching(spark, _lines(spark, sf), "^[0-9]*7 "),)], "n long")
+
+
+@query("SELECT 'c' || c_custkey AS id, round(c_acctbal, 2) AS bal, CASE WHEN c_nationkey < 12 THEN c_nationkey::DOUBLE END AS nation FROM customer")
+def s_descriptors(spark, sf):
+    """A descriptor table with missing cells."""
+    path = _folder(spark, "descriptors")
+    df = t(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), F.round("c_acctbal", 2).alias("bal"), F.when(F.col("c_nationkey") < 12, F.col("c_nationkey")).alias("nation"))
+    records.write_descriptors(df, path)
+    return records.read_descriptors(spark, path)
+
+
+@query("SELECT 'o' || o_orderkey AS id, o_orderpriority AS priority, 3::BIGINT AS items FROM orders WHERE o_custkey > 20")
+def s_items(spark, sf):
+    """Tagged items, filtered by one, without another and with a new one."""
+    path = _folder(spark, "items")
+    pair = lambda tag, c: F.struct(F.lit(tag).alias("tag"), c.cast("string").alias("value"))
+    rows = t(spark, sf, "orders").select(F.array(pair("PCN", F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))), pair("CUST", F.col("o_custkey")), pair("PRIO", F.col("o_orderpriority"))).alias("items"))
+    records.write_items(rows, path)
+    back = records.read_items(spark, path).where(records.item_filter("CUST", ">", 20)).withColumn("items", records.add_item("NEW", F.lit(1)))
+    back = back.withColumn("items", records.remove_items(["CUST"]))
+    return back.select(records.item("PCN").alias("id"), records.item("PRIO").alias("priority"), F.size("items").cast("long").alias("items"))
+
+
 # -- molecules --------------------------------------------------------------------
 #
 # A molecule is made of each row of ``part``: a core with a substituent at either end, drawn by the key.  What adds up over
@@ -1063,6 +1106,47 @@ _chem("c_activity", lambda m: aggregate.activity_consistency(m.withColumn("key",
 _chem("c_nearest", lambda m: similarity.nearest(similarity.pair_distances(frames.fingerprint(m), frames.fingerprint(m), same=True), 3), few=True)
 
 
+@query(f"{_MOL} SELECT id, c + cl + f + n + o + s AS natoms, 2 AS tokens FROM atoms")
+def s_smiles(spark, sf):
+    """Smiles files with a name of two words."""
+    path = _folder(spark, "smiles")
+    molecules(spark, sf).select(F.concat_ws(" ", "smiles", "id", F.lit("x")).alias("value")).write.text(path)
+    rows = frames.rule_of_five(records.read_smiles(spark, path))
+    return rows.select("id", F.col("natoms").cast("int").alias("natoms"), F.size("name_tokens").alias("tokens"))
+
+
+@query(f"{_MOL}, store AS (SELECT key, string_agg(id, ':' ORDER BY id) AS ids FROM same WHERE k < 4 GROUP BY key) SELECT same.id, store.ids FROM same LEFT JOIN store USING (key)")
+def s_store(spark, sf):
+    """Molecules looked up by structure in a stored table of those with a ring of six."""
+    keyed = molecules(spark, sf).withColumn("key", frames.structure_key(F.col("smiles")))
+    path = _folder(spark, "store")
+    records.build_store(keyed.where("ord % 8 < 4").select("key", F.col("id").alias("ids")), "key", "ids", path)
+    found, absent = records.look_up(keyed.select("id", "key"), spark.read.parquet(path), "key")
+    return found.select("id", "ids").union(absent.select("id", F.lit(None).cast("string")))
+
+
+@query("SELECT event_id, user_id FROM events WHERE value > 50 AND user_id < 40")
+def st_filter(spark, sf):
+    """A stream of events through a descriptor filter."""
+    return _streamed(spark, sf, lambda s: filter_mode.filter_stream(s, "value>50&&user_id<40")).select("event_id", "user_id")
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def st_distinct(spark, sf):
+    """The first event of each user and type that arrives."""
+    return _streamed(spark, sf, lambda s: filter_mode.distinct_stream(s, ["user_id", "event_type"], "ts", "3650 days")).select("user_id", "event_type")
+
+
+def _streamed(spark, sf, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream of the events table writes until its input ends."""
+    schema = t(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    out = f(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    path = _folder(spark, "stream")
+    filter_mode.run_to_table(out, path, _folder(spark, "progress")).awaitTermination()
+    return spark.read.schema(out.schema).parquet(path)
+
+
 @query()
 def c_reaction_signature(spark, sf):
     df = spark.createDataFrame([(1, "[CH3:1][Br:2].[OH2:3]>>[CH3:1][OH:3].[BrH:2]")], "id int, reaction string")
