@@ -57,10 +57,16 @@ def one_row_per_text(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``docs`` without surplus rows.  ``chosen`` holds (digest, doc_id, keep) of each text that repeats or is to go: one
     row of that text and doc_id stays if ``keep``, none otherwise.  Only rows of such texts are shuffled."""
     hit = F.coalesce(may_be_among(chosen, "digest"), F.lit(False))
+    own = F.col("doc_id").cast("long")
+    # Which rows go is found from digests and numbers alone.
+    narrow = docs.where(hit).select(text_digest().alias("digest"), own.alias("id")).distinct()
     want = chosen.select("digest", F.col("doc_id").alias("by"), "keep")
-    # The row travels as one value, so that its columns may have any names.
+    surplus = narrow.join(want, "digest").where(~(F.col("keep") & F.col("id").eqNullSafe(F.col("by"))))
+    surplus = surplus.select(F.col("digest").alias("d"), F.col("id").alias("i"))
+    # The row travels as one value, so that its columns may have any names; by digest and number, so that the copies of one
+    # text spread over all tasks.
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    doubtful = docs.where(hit).select(whole, text_digest().alias("digest")).join(want, "digest", "left")
-    stay = doubtful.where(F.col("keep").isNull() | (F.col("keep") & F.col("row.doc_id").cast("long").eqNullSafe(F.col("by"))))
+    doubtful = docs.where(hit).select(whole, text_digest().alias("digest"), own.alias("id"))
+    stay = doubtful.join(surplus, (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i")), "left_anti")
     # A chance hit has a text of its own, so it is not touched here.
-    return docs.where(~hit).unionByName(stay.dropDuplicates(["digest"]).select("row.*"))
+    return docs.where(~hit).unionByName(stay.dropDuplicates(["digest", "id"]).select("row.*"))
