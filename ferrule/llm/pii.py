@@ -100,12 +100,14 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _seed_places(text: str, seeds: list[Span]) -> list[dict]:
-    """Of each seed the hash of the words it lies in, what they are made of, and their patterns."""
+    """Of each seed the hash of the words it lies in, what they are made of, and their patterns.  A seed without a letter or
+    digit (``_@-.-``) may lie in no word, and has no place then."""
     words = Words.of([text.encode("utf-8", "surrogatepass")])
     lengths = np.cumsum([0] + [len(c.encode("utf-8", "surrogatepass")) for c in text]) if not text.isascii() else np.arange(len(text) + 1)
     start, end = lengths[[s for _, s, _ in seeds]], lengths[[e for _, _, e in seeds]]
     first, last = np.searchsorted(words.end, start, "right"), np.searchsorted(words.start, end, "left") - 1
-    last = np.maximum(first, last)
+    some = np.flatnonzero(first <= last)
+    seeds, first, last = [seeds[i] for i in some], first[some], last[some]
     run_first, run_last = words.runs()
     ruled = np.isin(first * (len(words.doc) + 1) + last, run_first * (len(words.doc) + 1) + run_last)
     value = words.values(first, last)

@@ -103,7 +103,9 @@ SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sh
 @query
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find_personal_data(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    # A second parameter of the lambda would be the index in the array.
+    of = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k))
+    counts = [of(k).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return out.select("doc_id", *counts, F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.spans_text(F.col("spans")).alias("spans"))
 
 #: Every pair is compared; the operator finds pairs at the threshold itself with a chance of 0.97 and closer ones more surely.
