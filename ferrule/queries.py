@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ferrule.chem import enumeration, frames
 from ferrule.functions import metrics, strings
 from ferrule.functions.expressions import combine
-from ferrule.operators import aggregate, cluster, distinct, filters, joins, models, project, sample, scale, similarity, windows
+from ferrule.operators import aggregate, bags, cluster, distinct, filters, joins, models, project, sample, scale, similarity, windows
 from ferrule.plans.shipping import shipped
 from ferrule.plans.spreading import spread
 from ferrule.plans.staging import shared_dir, staged
@@ -237,6 +237,10 @@ def doc_tokens(spark, sf):
     return scale.fingerprint_of_tokens(spread(t(spark, sf, "documents").select("doc_id", "text")), "doc_id", tokens("text"))
 
 
+def doc_bags(spark, sf):
+    return bags.token_bags(spread(t(spark, sf, "documents").select("doc_id", "text")), "doc_id", F.col("text"))
+
+
 def item_fp(spark, sf):
     return scale.fingerprint_of_tokens(t(spark, sf, "benchmark"), "item_id", tokens("text"))
 
@@ -277,7 +281,7 @@ def f06_nearest_self(spark, sf):
 @query(f"WITH {_DOC}, {_PAIRS} SELECT a, b, round(d, 9) AS d FROM d WHERE d <= 0.3")
 def f06_within(spark, sf):
     """All pairs of documents within a distance, by prefixes of rare bits."""
-    return rounded(similarity.within(doc_fp(spark, sf), 0.3), 9, "d")
+    return rounded(bags.pairs_within(doc_bags(spark, sf), 0.3), 9, "d")
 
 
 @query(f"{_NEEDLES}, g AS (SELECT needle, count(*) AS n, min(d) AS m FROM d WHERE d < 0.8 GROUP BY 1) SELECT i.item_id AS id, coalesce(n, 0) AS n_close, round(m, 9) AS nearest, coalesce(n, 0) >= 2 AS rejected FROM benchmark i LEFT JOIN g ON i.item_id = g.needle")
@@ -778,7 +782,7 @@ def f01_add_descriptors(spark, sf):
 
 
 def _doc_edges(spark, sf):
-    return staged(similarity.within(doc_fp(spark, sf), 0.3), "edges")
+    return staged(bags.pairs_within(doc_bags(spark, sf), 0.3), "edges")
 
 
 def _doc_items(spark, sf):
