@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ferrule.llm import exact, mixing, near, packing, quality
 from ferrule.llm.common import table
+from ferrule.plans.batches import in_small_batches
 from ferrule.plans.shipping import shipped
 from ferrule.plans.staging import staged
 
@@ -43,11 +44,11 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("quality classifier", shipped(accept_quality)),
-    ("exact dedup", shipped(drop_exact_copies)),
-    ("SimHash near-dedup", shipped(drop_near_copies)),
-    ("mixing sources to target weights", shipped(mix_sources)),
-    ("packing", shipped(pack_sequences)),
+    ("quality classifier", shipped(in_small_batches(accept_quality))),
+    ("exact dedup", shipped(in_small_batches(drop_exact_copies))),
+    ("SimHash near-dedup", shipped(in_small_batches(drop_near_copies))),
+    ("mixing sources to target weights", shipped(in_small_batches(mix_sources))),
+    ("packing", shipped(in_small_batches(pack_sequences))),
 ]
 
 #: Hashing, tokenising and the trained classifier are beyond SQL; tests hold the stages against brute force.
